@@ -11,16 +11,16 @@ _SEPARATORS = r"[/\\]"
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
 
 
-def _components(path: Column) -> Column:
+def components(path: Column) -> Column:
     return F.split(path, _SEPARATORS)
 
 
 def filename(path: Column) -> Column:
-    return F.element_at(_components(path), -1)
+    return F.element_at(components(path), -1)
 
 
 def folder_name(path: Column) -> Column:
-    return F.coalesce(F.try_element_at(_components(path), F.lit(-2)), F.lit(""))
+    return F.coalesce(F.try_element_at(components(path), F.lit(-2)), F.lit(""))
 
 
 def stem(name: Column) -> Column:
@@ -90,44 +90,56 @@ def parsed_source(name: Column) -> Column:
     return _first_hit(name, V.SOURCE_PATTERNS)
 
 
-def classify(path: Column) -> Column:
+def classify(path: Column, name: Column | None = None, ext: Column | None = None) -> Column:
     """struct(media_type, content_language) from extension, folders and name.
 
     ``array_intersect`` keeps the order of its first argument, so its first
-    element is the first rule, in rule order, that any path component meets.
+    element is the first rule, in rule order, that any path component meets. The
+    rules sit in literal maps, which keeps the expression small. ``name`` and
+    ``ext`` save parsing the path again where they are columns already.
     """
     def verdict(media_type, language):
         return F.struct(F.lit(media_type).alias("media_type"), F.lit(language).alias("content_language"))
 
-    name = filename(path)
-    ext = extension(name)
+    name = filename(path) if name is None else name
+    ext = extension(name) if ext is None else ext
     rule_keys = F.array(*[F.lit(key) for key, _, _ in V.FOLDER_RULES])
-    rule = F.try_element_at(F.array_intersect(rule_keys, _components(F.lower(path))), F.lit(1))
-    chain = (
-        F.when(ext.isin(V.IMAGE_EXTENSIONS), verdict("photography", "unknown"))
-        .when(
-            ext.isin(V.AUDIO_EXTENSIONS) & F.lower(path).contains(V.MUSIC_CLIP_MARK),
-            verdict("music_clip", "mixed"),
+    rules = F.create_map(*[c for key, *values in V.FOLDER_RULES for c in (F.lit(key), verdict(*values))])
+    met = F.array_intersect(rule_keys, components(F.lower(path)))
+    by_folder = F.try_element_at(rules, F.try_element_at(met, F.lit(1)))
+    kinds = [("image", V.IMAGE_EXTENSIONS), ("audio", V.AUDIO_EXTENSIONS)]
+    by_kind = F.try_element_at(
+        F.create_map(*[c for kind, exts in kinds for e in exts for c in (F.lit(e), F.lit(kind))]), ext
+    )
+    return (
+        F.when(by_kind == "image", verdict("photography", "unknown"))
+        .when((by_kind == "audio") & F.lower(path).contains(V.MUSIC_CLIP_MARK), verdict("music_clip", "mixed"))
+        .when(by_kind == "audio", verdict("music", "mixed"))
+        .otherwise(
+            F.coalesce(
+                by_folder,
+                F.when(name.rlike(V.SEASON_EPISODE_PATTERN), verdict("series", "unknown")),
+                verdict("unknown", "unknown"),
+            )
         )
-        .when(ext.isin(V.AUDIO_EXTENSIONS), verdict("music", "mixed"))
     )
-    for key, media_type, language in V.FOLDER_RULES:
-        chain = chain.when(rule == key, verdict(media_type, language))
-    return chain.when(
-        name.rlike(V.SEASON_EPISODE_PATTERN), verdict("series", "unknown")
-    ).otherwise(verdict("unknown", "unknown"))
 
 
 def is_series(media_type: Column, season: Column) -> Column:
     return media_type.isin(V.SERIES_TYPES) | season.isNotNull()
 
 
-def size_mb(size: Column) -> Column:
-    return exact_round(size / F.lit(float(2 ** 20)), 2)
+def size_units(size: Column) -> dict[str, Column]:
+    """Exact binary units of a byte count, to be rounded in a later select."""
+    return {"mebibytes": size / F.lit(float(2 ** 20)), "gibibytes": size / F.lit(float(2 ** 30))}
+
+
+def size_mb(mebibytes: Column) -> Column:
+    return exact_round(mebibytes, 2)
 
 
-def size_gb(size: Column) -> Column:
-    return exact_round(size / F.lit(float(2 ** 30)), 3)
+def size_gb(gibibytes: Column) -> Column:
+    return exact_round(gibibytes, 3)
 
 
 def iso_timestamp(ts: Column) -> Column:

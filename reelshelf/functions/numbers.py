@@ -28,6 +28,8 @@ def exact_round(x: Column, digits: int) -> Column:
     above the tie) would go to .56; here it goes to .57. The product with
     10^digits is formed without error from the two halves of ``x``, so its
     distance to the tie has the right sign. Plain arithmetic, hence codegen.
+    ``x`` occurs often in it: give a plain column, and compute anything costly
+    in a select before.
     """
     scale = float(10 ** digits)
     spread = x * F.lit(_SPLITTER)
@@ -41,8 +43,8 @@ def exact_round(x: Column, digits: int) -> Column:
 
 def parse_float(c: Column) -> Column:
     """Double or NULL; NaN is NULL. Not rounded."""
-    value = F.when(c.rlike(_FLOAT_TEXT), F.trim(c).try_cast("double"))
-    return F.when(~F.isnan(value), value)
+    value = F.when(c.rlike(_FLOAT_TEXT), c.try_cast("double"))
+    return F.nanvl(value, F.lit(None).cast("double"))
 
 
 def safe_float(c: Column) -> Column:
@@ -51,10 +53,13 @@ def safe_float(c: Column) -> Column:
 
 
 def safe_int(c: Column) -> Column:
-    """Int or NULL: ``' 8 '`` is 8, ``'8.0'`` is NULL."""
-    return F.when(c.rlike(_INT_TEXT), F.trim(c).try_cast("int"))
+    """Int or NULL: ``' 8 '`` is 8, ``'8.0'`` is NULL.
+
+    The pattern spares the failed cast, which raises and drops an exception per row.
+    """
+    return F.when(c.rlike(_INT_TEXT), c.try_cast("int"))
 
 
 def thousandth(c: Column) -> Column:
-    """bit/s text to kbit/s, or ms text to s: two digits, zero and junk are NULL."""
-    return exact_round(nonzero(safe_float(c)) / F.lit(1000.0), 2)
+    """A rounded number in thousands, two digits; zero is NULL. bit/s -> kbit/s, ms -> s."""
+    return exact_round(nonzero(c) / F.lit(1000.0), 2)

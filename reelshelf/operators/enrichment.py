@@ -6,7 +6,7 @@ files, sees that skew; its right side is unique per key, so AQE can split the
 hot partition freely (or broadcast the lookup when it measures it as small).
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelshelf import schemas
@@ -40,50 +40,52 @@ def enrichable(named: DataFrame) -> DataFrame:
 
 
 def with_search_key(named: DataFrame) -> DataFrame:
-    """Add endpoint, language, title, search_year; all NULL where no search happens."""
+    """Add endpoint, language, title, search_year. Without a search the texts are ''.
+
+    No NULL in the texts: a join on nullable keys gets IS NOT NULL filters, and
+    the optimizer would push those below the name parsing and repeat it there.
+    """
     series = N.is_series(F.col("media_type"), F.col("season_number"))
-    wanted = ~F.col("media_type").isin(V.UNENRICHED_TYPES) & (
-        F.coalesce(F.col("extracted_title"), F.lit("")) != ""
-    )
-    return named.select(
-        "*",
-        F.when(
-            wanted,
-            F.struct(
-                F.when(series, V.ENDPOINT_SERIES).otherwise(V.ENDPOINT_MOVIE).alias("endpoint"),
-                F.when(F.col("is_polish_production") == 1, V.LANGUAGE_POLISH)
-                .otherwise(V.LANGUAGE_DEFAULT).alias("language"),
-                F.col("extracted_title").alias("title"),
-                F.when(~series, F.col("extracted_year")).alias("search_year"),
-            ),
-        ).alias("search_key"),
+    wanted = ~F.col("media_type").isin(V.UNENRICHED_TYPES) & (F.col("extracted_title") != "")
+    marked = named.select("*", wanted.alias("_wanted"), series.alias("_series"))
+    return marked.select(
+        *named.columns,
+        F.when(~F.col("_wanted"), "").when(F.col("_series"), V.ENDPOINT_SERIES)
+        .otherwise(V.ENDPOINT_MOVIE).alias("endpoint"),
+        F.when(~F.col("_wanted"), "").when(F.col("is_polish_production") == 1, V.LANGUAGE_POLISH)
+        .otherwise(V.LANGUAGE_DEFAULT).alias("language"),
+        F.coalesce(F.when(F.col("_wanted"), F.col("extracted_title")), F.lit("")).alias("title"),
+        F.when(F.col("_wanted") & ~F.col("_series"), F.col("extracted_year")).alias("search_year"),
     )
 
 
 def distinct_search_keys(keyed: DataFrame) -> DataFrame:
-    return (
-        keyed.filter(F.col("search_key").isNotNull())
-        .select(*[F.col(f"search_key.{c}").alias(c) for c in _KEY])
-        .distinct()
-    )
+    """Each search once. Files without a search share one empty key, which meets
+    no candidate; a filter against it would be pushed below the name parsing."""
+    return keyed.select(*_KEY).distinct()
 
 
-def top_candidates(ref_search: DataFrame, by_year: bool) -> DataFrame:
-    """First candidate per search key by rank; combines before the shuffle."""
-    keys = ["endpoint", "language", "query"] + (["year"] if by_year else [])
-    return ref_search.groupBy(*keys).agg(F.min(F.struct("rank", "id")).alias("best")).select(
-        *keys, F.col("best.id").alias("id")
+def top_candidates(ref_search: DataFrame) -> DataFrame:
+    """First candidate per query and year by rank; combines before the shuffle."""
+    return ref_search.groupBy("endpoint", "language", "query", "year").agg(
+        F.min(F.struct("rank", "id")).alias("best")
     )
 
 
+def top_candidates_any_year(best_by_year: DataFrame) -> DataFrame:
+    """First candidate per query over all years, from the winners of each year."""
+    return best_by_year.groupBy("endpoint", "language", "query").agg(F.min("best").alias("best"))
+
+
 def resolve_ids(keys: DataFrame, ref_search: DataFrame) -> DataFrame:
     """tmdb_id per search key: with the year where there is one, else without."""
-    dated = top_candidates(ref_search, by_year=True).select(
+    by_year = top_candidates(ref_search)
+    dated = by_year.select(
         "endpoint", "language", F.col("query").alias("title"),
-        F.col("year").alias("search_year"), F.col("id").alias("dated_id"),
+        F.col("year").alias("search_year"), F.col("best.id").alias("dated_id"),
     )
-    undated = top_candidates(ref_search, by_year=False).select(
-        "endpoint", "language", F.col("query").alias("title"), F.col("id").alias("undated_id")
+    undated = top_candidates_any_year(by_year).select(
+        "endpoint", "language", F.col("query").alias("title"), F.col("best.id").alias("undated_id")
     )
     return (
         keys.join(undated, ["endpoint", "language", "title"], "left")
@@ -92,18 +94,18 @@ def resolve_ids(keys: DataFrame, ref_search: DataFrame) -> DataFrame:
     )
 
 
-def parse_details(ref_details: DataFrame) -> DataFrame:
-    """Detail replies: JSON text -> nested columns; corrupt text keeps its row."""
-    return ref_details.select(
-        "endpoint", "language", "id",
-        F.from_json(
-            "json", schemas.DETAIL_REPLY,
-            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
-        ).alias("d"),
+def parsed_reply() -> Column:
+    """JSON text -> nested columns; corrupt text is kept in its own field."""
+    return F.from_json(
+        "json", schemas.DETAIL_REPLY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
     )
 
 
-def _one_reply_per_id(ref_details: DataFrame) -> DataFrame:
+def parse_details(ref_details: DataFrame) -> DataFrame:
+    return ref_details.select("endpoint", "language", "id", parsed_reply().alias("d"))
+
+
+def one_reply_per_id(ref_details: DataFrame) -> DataFrame:
     """Unique ids; an empty reply counts as none."""
     told = ref_details.filter(~F.col("json").rlike(r"^\s*(\{\s*\}|null)?\s*$"))
     return told.groupBy("endpoint", "language", "id").agg(F.max("json").alias("json"))
@@ -115,26 +117,28 @@ def _names(array: str, field: str):
     )
 
 
-def detail_columns(parsed: DataFrame) -> DataFrame:
-    """Parsed replies -> catalogue columns. Empty text falls through to the TV field."""
-    usable = F.col("d").isNotNull() & F.col("d._corrupt_record").isNull()
+def is_usable_reply() -> Column:
+    return F.col("d").isNotNull() & F.col("d._corrupt_record").isNull()
+
 
+def detail_columns() -> list[Column]:
+    """Catalogue columns of a parsed reply ``d``. Empty text falls through to the TV field."""
     def either(a, b):
         return F.coalesce(truthy_text(F.col(f"d.{a}")), F.col(f"d.{b}"))
 
-    return parsed.filter(usable).select(
-        "endpoint", "language", "id",
-        either("title", "name").alias("tmdb_title"),
-        either("original_title", "original_name").alias("tmdb_original_title"),
-        F.col("d.vote_average").alias("tmdb_rating"),
-        F.col("d.vote_count").alias("tmdb_vote_count"),
-        _names("d.genres", "name").alias("tmdb_genres"),
-        either("release_date", "first_air_date").alias("tmdb_release_date"),
-        F.col("d.overview").alias("tmdb_overview"),
-        F.coalesce(F.col("d.runtime"), F.get(F.col("d.episode_run_time"), F.lit(0))).alias("tmdb_runtime"),
-        _names("d.production_countries", "iso_3166_1").alias("tmdb_production_countries"),
-        F.col("d.poster_path").alias("tmdb_poster_path"),
-    )
+    columns = {
+        "tmdb_title": either("title", "name"),
+        "tmdb_original_title": either("original_title", "original_name"),
+        "tmdb_rating": F.col("d.vote_average"),
+        "tmdb_vote_count": F.col("d.vote_count"),
+        "tmdb_genres": _names("d.genres", "name"),
+        "tmdb_release_date": either("release_date", "first_air_date"),
+        "tmdb_overview": F.col("d.overview"),
+        "tmdb_runtime": F.coalesce(F.col("d.runtime"), F.get(F.col("d.episode_run_time"), F.lit(0))),
+        "tmdb_production_countries": _names("d.production_countries", "iso_3166_1"),
+        "tmdb_poster_path": F.col("d.poster_path"),
+    }
+    return [F.when(is_usable_reply(), c).alias(name) for name, c in columns.items()]
 
 
 def lookup_table(keys: DataFrame, ref_search: DataFrame, ref_details: DataFrame) -> DataFrame:
@@ -144,13 +148,11 @@ def lookup_table(keys: DataFrame, ref_search: DataFrame, ref_details: DataFrame)
     are parsed. A missing or corrupt reply leaves the id with tmdb_enriched = 0.
     """
     found = resolve_ids(keys, ref_search).filter(F.col("tmdb_id").isNotNull())
-    wanted = found.select("endpoint", "language", F.col("tmdb_id").alias("id")).distinct()
-    used = _one_reply_per_id(
-        ref_details.join(wanted, ["endpoint", "language", "id"], "left_semi")
-    )
-    details = detail_columns(parse_details(used)).withColumnRenamed("id", "tmdb_id")
-    return found.join(details.withColumn("reply", F.lit(1)), ["endpoint", "language", "tmdb_id"], "left").select(
-        *_KEY, *TMDB_COLUMNS[:-1], F.coalesce("reply", F.lit(0)).alias("tmdb_enriched")
+    replies = one_reply_per_id(ref_details).withColumnRenamed("id", "tmdb_id")
+    told = found.join(replies, ["endpoint", "language", "tmdb_id"], "left")
+    parsed = told.select(*_KEY, "tmdb_id", parsed_reply().alias("d"))
+    return parsed.select(
+        *_KEY, "tmdb_id", *detail_columns(), F.coalesce(is_usable_reply(), F.lit(False)).cast("int").alias("tmdb_enriched")
     )
 
 
@@ -165,15 +167,14 @@ def enrich(
     keyed = with_search_key(named)
     keys = distinct_search_keys(keyed if key_source is None else with_search_key(key_source))
     lookup = lookup_table(keys, ref_search, ref_details)
-    k = F.col("search_key")
-    # Files without a key would all hash to one partition; a key of their own
-    # (endpoint "") spreads them by path. It meets no lookup row.
+    # Files without a search would all hash to one partition; their path as the
+    # title spreads them. With endpoint "" it meets no lookup row.
     left = keyed.select(
         *named.columns,
-        F.coalesce(k["endpoint"], F.lit("")).alias("_endpoint"),
-        F.coalesce(k["language"], F.lit("")).alias("_language"),
-        F.coalesce(k["title"], F.col("file_path")).alias("_title"),
-        F.coalesce(k["search_year"], F.lit(-1)).alias("_year"),
+        F.col("endpoint").alias("_endpoint"),
+        F.col("language").alias("_language"),
+        F.when(F.col("endpoint") == "", F.col("file_path")).otherwise(F.col("title")).alias("_title"),
+        F.coalesce("search_year", F.lit(-1)).alias("_year"),
     )
     right = lookup.select(
         F.col("endpoint").alias("_endpoint"), F.col("language").alias("_language"),
@@ -190,25 +191,17 @@ def detail_errors(named: DataFrame, ref_search: DataFrame, ref_details: DataFram
     """Error rows (stage tmdb) of files whose detail reply is corrupt; the files stay."""
     keyed = with_search_key(named)
     found = resolve_ids(distinct_search_keys(keyed), ref_search).filter(F.col("tmdb_id").isNotNull())
-    replies = parse_details(_one_reply_per_id(ref_details)).filter(
-        F.col("d").isNull() | F.col("d._corrupt_record").isNotNull()
-    )
+    replies = parse_details(one_reply_per_id(ref_details)).filter(~is_usable_reply())
     bad = found.join(
         replies.select("endpoint", "language", F.col("id").alias("tmdb_id")),
         ["endpoint", "language", "tmdb_id"], "left_semi",
     ).select(
-        F.struct(*_KEY).alias("search_key"),
+        *[F.col(c).alias(f"_{c}") for c in _KEY],
         F.concat(F.lit("corrupt details of id "), F.col("tmdb_id").cast("string")).alias("error"),
     )
-    k = F.col("search_key")
-    flat = keyed.filter(k.isNotNull()).select("file_path", "filename", "search_key")
-    hits = flat.join(
-        bad.select(F.col("search_key").alias("bad_key"), "error"),
-        (k["endpoint"] == F.col("bad_key.endpoint")) & (k["language"] == F.col("bad_key.language"))
-        & (k["title"] == F.col("bad_key.title"))
-        & k["search_year"].eqNullSafe(F.col("bad_key.search_year")),
-    )
-    return hits.select(
+    files = keyed.select("file_path", "filename", *_KEY).filter(F.col("endpoint") != "")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KEY]
+    return files.join(bad, same).select(
         F.col("filename").alias("file"), F.col("file_path").alias("path"), "error",
         F.lit("tmdb").alias("stage"), F.lit(scan_ts).alias("time"),
     )

@@ -57,26 +57,27 @@ def file_inventory(files: DataFrame) -> DataFrame:
 def name_columns(files: DataFrame, as_of_year: int, scan_ts: str) -> DataFrame:
     """The listing plus everything that path, name and file system tell.
 
-    Kept in two narrow steps: names first, so later expressions refer to columns.
+    Narrow steps: the path is split once, later expressions refer to columns.
     """
-    path = F.col("file_path")
-    parts = files.select(
-        "*",
-        N.filename(path).alias("filename"),
-        N.folder_name(path).alias("folder_name"),
-        N.classify(path).alias("folder"),
+    path, name = F.col("file_path"), F.col("filename")
+    split = files.select("*", N.components(path).alias("components"))
+    parts = split.select(
+        *files.columns,
+        F.element_at("components", -1).alias("filename"),
+        F.coalesce(F.try_element_at("components", F.lit(-2)), F.lit("")).alias("folder_name"),
+        *[part.alias(alias) for alias, part in N.size_units(F.col("size_bytes")).items()],
     )
-    name = F.col("filename")
+    typed = parts.select("*", N.extension(name).alias("extension"))
+    placed = typed.select("*", N.classify(path, name, F.col("extension")).alias("folder"))
     created = F.col("ctime") if "ctime" in files.columns else F.lit(None).cast("timestamp")
-    return parts.select(
-        *[c for c in files.columns if c not in ("source_root", "mtime", "ctime")],
-        "mtime", "filename", "folder_name",
-        N.extension(name).alias("extension"),
+    return placed.select(
+        *[c for c in files.columns if c not in ("source_root", "ctime")],
+        "filename", "folder_name", "extension",
         N.filename(F.col("source_root")).alias("source_root"),
         F.col("folder.media_type").alias("media_type"),
         F.col("folder.content_language").alias("folder_language"),
-        N.size_mb(F.col("size_bytes")).alias("size_mb"),
-        N.size_gb(F.col("size_bytes")).alias("size_gb"),
+        N.size_mb(F.col("mebibytes")).alias("size_mb"),
+        N.size_gb(F.col("gibibytes")).alias("size_gb"),
         N.iso_timestamp(created).alias("created_at_ts"),
         N.iso_timestamp(F.col("mtime")).alias("modified_at_ts"),
         F.lit(scan_ts).alias("scanned_at_ts"),

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from reelshelf.functions import attributes as A
 from reelshelf.functions import fixed_values as V
-from reelshelf.functions.numbers import exact_round, safe_float, safe_int, thousandth, truthy_text
+from reelshelf.functions.numbers import exact_round, parse_float, safe_int, thousandth, truthy_text
 
 CHUNK_BITS = 12  # 4096 consecutive tracks per chunk
 
@@ -106,8 +106,26 @@ def _bit(flag: str, condition: Column) -> Column:
     return F.when(condition, F.lit(1 << FLAG_BITS.index(flag))).otherwise(F.lit(0))
 
 
+# Attributes that are numbers in text; each is parsed, then rounded, once per track.
+_FLOATS = ["frame_rate", *GENERAL_LAST_NUMBER.values(), *VIDEO_LAST_NUMBER.values()]
+_INTS = ["width", "height", "bit_depth", "part_id"]
+
+
+def _with_numbers(tracks: DataFrame, chunk: Column) -> DataFrame:
+    """Numeric attributes as numbers. Two selects: the rounding reads plain columns."""
+    parsers = {**dict.fromkeys(_FLOATS, parse_float), **dict.fromkeys(_INTS, safe_int)}
+    parsed = tracks.select(
+        chunk.alias("chunk"),
+        *[parsers[c](F.col(c)).alias(c) if c in parsers else F.col(c) for c in tracks.columns],
+    )
+    return parsed.select(
+        "chunk", *[exact_round(F.col(c), 2).alias(c) if c in _FLOATS else F.col(c) for c in tracks.columns]
+    )
+
+
 def _track_facts(tracks: DataFrame, key: str, chunk: Column) -> DataFrame:
     """One narrow row per track: what it contributes to each aggregate."""
+    tracks = _with_numbers(tracks, chunk)
     order = _c("track_order")
     kind = _c("track_type")
     general, video, audio, text = (kind == k for k in ("General", "Video", "Audio", "Text"))
@@ -120,8 +138,7 @@ def _track_facts(tracks: DataFrame, key: str, chunk: Column) -> DataFrame:
     def last_of(condition, mapping):
         return placed(condition, **{out: _c(attribute) for out, attribute in mapping.items()})
 
-    width, height = safe_int(_c("width")), safe_int(_c("height"))
-    depth = safe_int(_c("bit_depth"))
+    width, height, depth = _c("width"), _c("height"), _c("bit_depth")
     bits = (
         F.when(
             video,
@@ -139,9 +156,9 @@ def _track_facts(tracks: DataFrame, key: str, chunk: Column) -> DataFrame:
         .otherwise(F.lit(0))
     )
     channels = A.channel_text(_c("channel_s"), _c("channels"))
-    bit_rate = safe_float(_c("bit_rate"))
+    bit_rate = _c("bit_rate")
     columns = [
-        _c(key), chunk.alias("chunk"), order.alias("track_order"), kind.alias("track_type"),
+        _c(key), _c("chunk"), order.alias("track_order"), kind.alias("track_type"),
         bits.alias("bits"),
         F.when(audio, A.language_bit(_c("language"))).otherwise(F.lit(0)).alias("audio_bits"),
         F.when(text, A.language_bit(_c("language"))).otherwise(F.lit(0)).alias("text_bits"),
@@ -159,7 +176,7 @@ def _track_facts(tracks: DataFrame, key: str, chunk: Column) -> DataFrame:
                 truthy_text(_c("language")).alias("language"),
                 truthy_text(_c("format")).alias("format"),
                 truthy_text(_c("commercial_name")).alias("commercial_name"),
-                F.when(F.abs(bit_rate) > 0, A.whole_text(bit_rate / F.lit(1000.0))).alias("kbps_text"),
+                F.when(bit_rate != 0, A.whole_text(bit_rate / F.lit(1000.0))).alias("kbps_text"),
                 F.concat(channels, F.lit("ch")).alias("channels_text"),
                 truthy_text(_c("title")).alias("title"),
                 truthy_text(_c("service_kind")).alias("service_kind"),
@@ -189,7 +206,7 @@ def _track_facts(tracks: DataFrame, key: str, chunk: Column) -> DataFrame:
         ]
     for condition, mapping in ((general, GENERAL_LAST_NUMBER), (video, VIDEO_LAST_NUMBER)):
         columns += [
-            placed(condition & (F.abs(safe_float(_c(attribute))) > 0), v=_c(attribute)).alias(out)
+            placed(condition & (_c(attribute) != 0), v=_c(attribute)).alias(out)
             for out, attribute in mapping.items()
         ]
     return tracks.select(*columns)
@@ -259,7 +276,13 @@ def fold_tracks(tracks: DataFrame, key: str = "file_path", chunk: Column | None
         *[F.sum(c).cast("int").alias(c) for c in ("audio_count", "subtitle_count", "subtitle_forced_count")],
         F.sort_array(F.collect_list("lists")).alias("lists"),
     )
-    return per_file.select(key, *_output_columns())
+    # The costly parts first, then what reads them: the rounding and the duration text.
+    values = per_file.select(key, *_output_columns())
+    thousands = [*GENERAL_LAST_NUMBER, *VIDEO_LAST_NUMBER, "audio_main_bitrate_kbps"]
+    rounded = values.select(
+        *[thousandth(F.col(c)).alias(c) if c in thousands else F.col(c) for c in values.columns]
+    )
+    return rounded.select("*", A.duration_fmt(F.col("duration_sec")).alias("duration_fmt"))
 
 
 def _output_columns() -> list[Column]:
@@ -272,13 +295,12 @@ def _output_columns() -> list[Column]:
     def flags(bits, names):
         return [F.getbit(F.col(bits), F.lit(i)).cast("int").alias(n) for i, n in enumerate(names)]
 
-    numeric = {"part_id": safe_int, "video_bit_depth": safe_int, "frame_rate": safe_float}
     light = {"max_content_light_level", "max_frame_avg_light_level"}
     capped = {"ai_processing_info": V.AI_INFO_MAX_CHARS, "encoding_settings": V.ENCODER_SETTINGS_MAX_CHARS}
 
     out = []
     for source, mapping in (("general_last", GENERAL_LAST), ("video_last", VIDEO_LAST)):
-        out += [numeric.get(name, lambda c: c)(F.col(source)[name]).alias(name) for name in mapping]
+        out += [F.col(source)[name].alias(name) for name in mapping]
     for name in [*GENERAL_LAST_TRUTHY, *VIDEO_LAST_TRUTHY]:
         value = F.col(name)["v"]
         if name in light:
@@ -286,17 +308,16 @@ def _output_columns() -> list[Column]:
         elif name in capped:
             value = F.substring(value, 1, capped[name])
         out.append(value.alias(name))
-    out += [thousandth(F.col(name)["v"]).alias(name) for name in [*GENERAL_LAST_NUMBER, *VIDEO_LAST_NUMBER]]
+    out += [F.col(name)["v"].alias(name) for name in [*GENERAL_LAST_NUMBER, *VIDEO_LAST_NUMBER]]
     frame, main = F.col("frame"), F.col("main_audio")
     out += [
-        A.duration_fmt(thousandth(F.col("duration_sec")["v"])).alias("duration_fmt"),
         frame["width"].alias("width"),
         frame["height"].alias("height"),
         F.concat(frame["width"].cast("string"), F.lit("x"), frame["height"].cast("string")).alias("video_resolution"),
         main["audio_main_codec"].alias("audio_main_codec"),
         main["audio_main_channels"].alias("audio_main_channels"),
         main["audio_main_language"].alias("audio_main_language"),
-        thousandth(main["audio_main_bitrate"]).alias("audio_main_bitrate_kbps"),
+        main["audio_main_bitrate"].alias("audio_main_bitrate_kbps"),
         F.col("audio_count"), F.col("subtitle_count"), F.col("subtitle_forced_count"),
         languages("audio_languages").alias("audio_languages_list"),
         languages("subtitle_languages").alias("subtitle_languages_list"),

@@ -13,9 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # The catalogue row has 130 columns; the default of 100 would take its
-    # projection out of whole-stage codegen.
-    "spark.sql.codegen.maxFields": "400",
+    # The JVM never compiles methods above 8000 bytes of bytecode. Wide stages that
+    # would exceed it run operator by operator instead, in small compiled methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -32,6 +32,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
         SparkSession.builder.master(f"local[{cores}]")
         .appName("reelshelf")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
     )

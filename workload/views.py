@@ -177,7 +177,13 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A given table. A small file comes as one split; the derivation is heavy enough
+        to spread its rows then. Large tables have splits enough and aren't shuffled."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("lineitem", "orders") and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         text = text.replace("{", "{{").replace("}", "}}")
