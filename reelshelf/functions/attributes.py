@@ -50,13 +50,9 @@ def language_bit(language: Column) -> Column:
 def duration_fmt(seconds: Column) -> Column:
     """HH:MM:SS of the whole seconds, wrapping after a day."""
     whole = F.pmod(F.floor(seconds), F.lit(86400))
-    return F.concat_ws(
-        ":",
-        *[
-            F.lpad(part.cast("int").cast("string"), 2, "0")
-            for part in (F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600)) / 60), F.pmod(whole, F.lit(60)))
-        ],
-    )
+    hours, minutes, rest = F.floor(whole / 3600), F.floor(F.pmod(whole, F.lit(3600)) / 60), F.pmod(whole, F.lit(60))
+    texts = [F.lpad(part.cast("int").cast("string"), 2, "0") for part in (hours, minutes, rest)]
+    return F.concat(texts[0], F.lit(":"), texts[1], F.lit(":"), texts[2])
 
 
 def is_4k(width: Column, height: Column) -> Column:

@@ -116,10 +116,10 @@ def _with_numbers(tracks: DataFrame, chunk: Column) -> DataFrame:
     parsers = {**dict.fromkeys(_FLOATS, parse_float), **dict.fromkeys(_INTS, safe_int)}
     parsed = tracks.select(
         chunk.alias("chunk"),
-        *[parsers[c](F.col(c)).alias(c) if c in parsers else F.col(c) for c in tracks.columns],
+        *[parsers[c](F.col(c)).alias(c) if c in parsers else c for c in tracks.columns],
     )
     return parsed.select(
-        "chunk", *[exact_round(F.col(c), 2).alias(c) if c in _FLOATS else F.col(c) for c in tracks.columns]
+        "chunk", *[exact_round(F.col(c), 2).alias(c) if c in _FLOATS else c for c in tracks.columns]
     )
 
 
@@ -280,7 +280,7 @@ def fold_tracks(tracks: DataFrame, key: str = "file_path", chunk: Column | None
     values = per_file.select(key, *_output_columns())
     thousands = [*GENERAL_LAST_NUMBER, *VIDEO_LAST_NUMBER, "audio_main_bitrate_kbps"]
     rounded = values.select(
-        *[thousandth(F.col(c)).alias(c) if c in thousands else F.col(c) for c in values.columns]
+        *[thousandth(F.col(c)).alias(c) if c in thousands else c for c in values.columns]
     )
     return rounded.select("*", A.duration_fmt(F.col("duration_sec")).alias("duration_fmt"))
 

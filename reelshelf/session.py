@@ -18,6 +18,12 @@ SETTINGS = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+# Settings that only a new session can take.
+BUILD_SETTINGS = {
+    # Call sites of thousands of column expressions cost seconds per plan.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the engine's settings to a session that someone else built."""
@@ -36,7 +42,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, **extra: str) -
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "8g")
     )
-    for key, value in {**SETTINGS, **extra}.items():
+    for key, value in {**SETTINGS, **BUILD_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

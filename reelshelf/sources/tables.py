@@ -1,7 +1,6 @@
 """Readers of the input tables, always with an explicit schema."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelshelf import schemas
@@ -10,8 +9,9 @@ from reelshelf.operators.enrichment import explode_search
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Bring a derived frame to a schema: cast what is there, NULL what is not."""
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+    present = set(df.columns)
+    return df.selectExpr(*[
+        f"CAST({f'`{f.name}`' if f.name in present else 'NULL'} AS {f.dataType.simpleString()}) AS `{f.name}`"
         for f in schema.fields
     ])
 

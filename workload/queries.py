@@ -23,7 +23,9 @@ from reelshelf.sources.state_table import StateTable
 from reelshelf.streaming.ingest import ingest_catalog
 from workload.views import AS_OF_YEAR, SCAN_TS, Views
 
-PATH = F.col("file_path")
+def _path():
+    return F.col("file_path")
+
 
 # --- column groups, shared with the oracle ------------------------------------
 GENERAL_COLUMNS = [
@@ -260,14 +262,14 @@ _QUERIES = {
     "run_stats": run_stats,
     # names
     "path_parts": lambda v: v.files.select(
-        "file_path", N.filename(PATH).alias("filename"), N.folder_name(PATH).alias("folder_name"),
-        N.extension(N.filename(PATH)).alias("extension"), N.filename(F.col("source_root")).alias("source_root")),
-    "extract_year": lambda v: v.files.select("file_path", N.extract_year(N.filename(PATH), AS_OF_YEAR).alias("year")),
+        "file_path", N.filename(_path()).alias("filename"), N.folder_name(_path()).alias("folder_name"),
+        N.extension(N.filename(_path())).alias("extension"), N.filename(F.col("source_root")).alias("source_root")),
+    "extract_year": lambda v: v.files.select("file_path", N.extract_year(N.filename(_path()), AS_OF_YEAR).alias("year")),
     "year_fallback": _name_columns("extracted_year"),
     "season_episode": _name_columns("season_number", "episode_number"),
-    "clean_title": lambda v: v.files.select("file_path", N.clean_title(N.filename(PATH)).alias("title")),
-    "parsed_resolution": lambda v: v.files.select("file_path", N.parsed_resolution(N.filename(PATH)).alias("parsed_resolution")),
-    "parsed_source": lambda v: v.files.select("file_path", N.parsed_source(N.filename(PATH)).alias("parsed_source")),
+    "clean_title": lambda v: v.files.select("file_path", N.clean_title(N.filename(_path())).alias("title")),
+    "parsed_resolution": _name_columns("parsed_resolution"),
+    "parsed_source": _name_columns("parsed_source"),
     "classify_media": _name_columns("media_type", "folder_language", "is_polish_production"),
     "size_units": _name_columns("size_bytes", "size_mb", "size_gb"),
     "is_series": lambda v: _named(v).select(
