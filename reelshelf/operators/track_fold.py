@@ -221,7 +221,7 @@ _MAXED = (
 
 
 def _same_on_both_levels():
-    return [F.max(c).alias(c) for c in _MAXED] + [
+    return [F.expr(f"max({c}) AS {c}") for c in _MAXED] + [
         F.min("main_audio").alias("main_audio"),
         F.bit_or("bits").alias("bits"),
         F.bit_or("audio_bits").alias("audio_bits"),

@@ -55,7 +55,7 @@ def build_catalog(inputs: Inputs, as_of_year: int, scan_ts: str, enrich: bool =
     key = inputs.key
     folded = fold_tracks(inputs.tracks, key, inputs.track_chunk)
     folded = folded.select(
-        F.col(key).alias("_track_key"), *[F.col(c) for c in FOLDED_COLUMNS], "audio_language_code",
+        F.col(key).alias("_track_key"), *FOLDED_COLUMNS, "audio_language_code",
         scoring.quality_score().alias("quality_score"),
     )
     pictures = image_ops.image_columns(inputs.images, key).withColumnRenamed(key, "_image_key")
@@ -63,15 +63,18 @@ def build_catalog(inputs: Inputs, as_of_year: int, scan_ts: str, enrich: bool =
     joined = named.join(folded, (F.col(key) == F.col("_track_key")) & ~is_photo, "left").join(
         pictures, (F.col(key) == F.col("_image_key")) & is_photo, "left"
     )
-    return joined.select(*[_final_column(f, is_photo) for f in schemas.CATALOG.fields])
+    return joined.selectExpr(*[_final_column(f) for f in schemas.CATALOG.fields])
 
 
-def _final_column(field, is_photo):
-    name = field.name
+def _final_column(field) -> str:
+    """SQL text: 130 columns in one call instead of several calls per column."""
+    name, kind = field.name, field.dataType.simpleString()
     if name == "content_language":
-        return F.coalesce("audio_language_code", "folder_language").alias(name)
-    if name == "processing_error":
-        return F.when(~is_photo & F.col("_track_key").isNull(), F.lit(V.PROBE_FAILED)).alias(name)
-    if name in _ZERO_WITHOUT_TRACKS:
-        return F.coalesce(F.col(name), F.lit(0)).cast(field.dataType).alias(name)
-    return F.col(name).cast(field.dataType).alias(name)
+        value = "coalesce(audio_language_code, folder_language)"
+    elif name == "processing_error":
+        value = f"CASE WHEN media_type <> 'photography' AND _track_key IS NULL THEN '{V.PROBE_FAILED}' END"
+    elif name in _ZERO_WITHOUT_TRACKS:
+        value = f"coalesce({name}, 0)"
+    else:
+        value = name
+    return f"CAST({value} AS {kind}) AS {name}"
