@@ -15,6 +15,12 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode,)}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.quality import quality_rules
+
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op4_quality_rules)}
 
 SQL: dict[str, str] = {}
