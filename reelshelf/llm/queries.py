@@ -21,6 +21,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op4_quality_rules)}
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from reelshelf.llm.chat import chat_digests
+
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    turns = F.array(*(F.struct(F.lit(at).cast("long").alias("turn"), F.lit(role).alias("role")) for at, role in enumerate(("user", "assistant"))))
+    more = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(turns), F.lit(text).alias("text"))
+    return chat_digests(rows.unionByName(more))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op4_quality_rules, op5_chat_formatting)}
 
 SQL: dict[str, str] = {}
