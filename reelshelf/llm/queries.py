@@ -33,6 +33,39 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.unionByName(more))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op4_quality_rules, op5_chat_formatting)}
-
-SQL: dict[str, str] = {}
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.mixing import mix_plan
+
+    return mix_plan(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op4_quality_rules, op5_chat_formatting, op6_source_mix)}
+
+#: Words and white space as in the contracts.
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL: dict[str, str] = {
+    "op6_source_mix": f"""
+        with sizes as (
+            select doc_id, source, cast(len({_WORDS}) as bigint) as size,
+                cast(cast('0x' || substr(md5('20|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 13) as bigint) as double)
+                    / 4503599627370496.0 as draw
+            from documents),
+        sources as (
+            select source, cast(sum(size) as bigint) as source_size,
+                [5.0, 2.0, 1.0][(row_number() over (order by source is null, source) - 1) % 3 + 1] as weight
+            from sizes group by source),
+        filled as (
+            select *, 2.0 * source_size as cap, sum(2.0 * source_size) over w - 2.0 * source_size as fixed,
+                sum(weight) over () - (sum(weight) over w - weight) as open, 1.5 * sum(source_size) over () as everything
+            from sources window w as (order by 2.0 * source_size / weight, source rows unbounded preceding)),
+        level as (
+            select cast((everything - fixed) as double) / cast(open as double) as level from filled
+            where (everything - fixed) / open <= cap / weight order by cap / weight limit 1)
+        select doc_id, size, source_size, target, cast(floor(rate) + (draw < rate - floor(rate))::int as bigint) as copies,
+            cast(size * (floor(rate) + (draw < rate - floor(rate))::int) as bigint) as taken
+        from (select s.*, f.source_size, f.target, case when f.source_size > 0 then f.target / f.source_size else 0.0 end as rate
+            from sizes s join (
+                select source, source_size, least(cast(cap as double), cast(weight as double) * coalesce((select level from level), 0.0)) as target from filled
+            ) f on s.source is not distinct from f.source)""",
+}
