@@ -15,6 +15,12 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.suffixes import suffix_digests
+
+    return suffix_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelshelf.llm.quality import quality_rules
 
@@ -39,7 +45,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op4_quality_rules, op5_chat_formatting, op6_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix)}
 
 #: Words and white space as in the contracts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
