@@ -45,7 +45,13 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix)}
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.jaccard import similar_groups
+
+    return similar_groups(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op8_ngram_jaccard)}
 
 #: Words and white space as in the contracts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import re
 
 
 def suffix_digests(rows, width=100):
@@ -18,3 +19,35 @@ def suffix_digests(rows, width=100):
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.append((doc_id, len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def similar_groups(rows):
+    """rows: (doc_id, text), doc_id not null and unique. All pairs that share a shingle are compared."""
+    sets = {d: shingles(t) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    compared = set()
+    for same in holders.values():
+        for i, a in enumerate(same):
+            for b in same[i + 1 :]:
+                if (a, b) not in compared:
+                    compared.add((a, b))
+                    both = len(sets[a] & sets[b])
+                    if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                        x, y = root(a), root(b)
+                        parent[max(x, y)] = min(x, y)
+    return sorted((d, len(s), root(d)) for d, s in sets.items())
