@@ -15,6 +15,12 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.langid import predict_languages
+
+    return predict_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelshelf.llm.suffixes import suffix_digests
 
@@ -51,7 +57,17 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op8_ngram_jaccard)}
+#: Bytes of text in a shard.
+SHARD_BYTES = 16 << 20
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.sharding import shard_table
+
+    return shard_table(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_language_id, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op8_ngram_jaccard, op9_sharding)}
 
 #: Words and white space as in the contracts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -80,4 +96,18 @@ SQL: dict[str, str] = {
             from sizes s join (
                 select source, source_size, least(cast(cap as double), cast(weight as double) * coalesce((select level from level), 0.0)) as target from filled
             ) f on s.source is not distinct from f.source)""",
+    "op9_sharding": f"""
+        with hashed as (
+            select row_number() over () as row, doc_id, cast(coalesce(strlen(text), 0) as bigint) as n_bytes,
+                cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) as bigint) as h
+            from documents),
+        levels as (select *, h >> (60 - depth) as bucket from hashed, (select unnest(range(0, 61)) as depth)),
+        buckets as (
+            select depth, bucket, cast(sum(n_bytes) as bigint) as shard_bytes, count(*) as shard_docs
+            from levels group by depth, bucket having sum(n_bytes) <= {SHARD_BYTES} or min(h) = max(h) or depth = 60)
+        select doc_id, n_bytes, case when depth = 0 then '' else right(bin(bucket + (1::bigint << 61)), depth) end as shard,
+            cast(depth as int) as depth, shard_bytes, shard_docs
+        from (select l.*, shard_bytes, shard_docs, row_number() over (partition by l.row order by l.depth) as k
+            from levels l join buckets b on l.depth = b.depth and l.bucket = b.bucket)
+        where k = 1""",
 }
