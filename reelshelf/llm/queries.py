@@ -67,7 +67,13 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_table(read_table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_language_id, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op8_ngram_jaccard, op9_sharding)}
+def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.syncmers import fingerprint_table
+
+    return fingerprint_table(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_language_id, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op8_ngram_jaccard, op9_sharding, op10_syncmer_fingerprints)}
 
 #: Words and white space as in the contracts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
