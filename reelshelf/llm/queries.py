@@ -51,6 +51,12 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read_table(spark, sf_dir, "documents"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.htmltext import extract_texts
+
+    return extract_texts(read_table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelshelf.llm.jaccard import similar_groups
 
@@ -73,7 +79,7 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_table(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_language_id, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op8_ngram_jaccard, op9_sharding, op10_syncmer_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_language_id, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op7_html_extraction, op8_ngram_jaccard, op9_sharding, op10_syncmer_fingerprints)}
 
 #: Words and white space as in the contracts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
