@@ -51,7 +51,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.features, self.label = [-1], [["tag:root"]], [0]
-        self.chars, self.linked = [0], [0]
+        self.chars, self.linked, self.inside = [0], [0], [False]
         self.segments: list[tuple[int, str]] = []
         self._read(source)
         for node, named in enumerate(self.features):
@@ -137,7 +137,9 @@ class Page:
             if breaks or other:
                 flush()
                 self.parent.append(node)
-                self.features.append([f"tag:{tag}", f"names:{'other' if other else 'text' if words & _TEXT_WORDS else 'none'}"])
+                place = "@text" if self.inside[node] and tag in ("header", "footer", "aside") else ""
+                self.inside.append(self.inside[node] or tag == "article" or not other and bool(words & _TEXT_WORDS))
+                self.features.append([f"tag:{tag}{place}", f"names:{'other' if other else 'text' if words & _TEXT_WORDS else 'none'}"])
                 label = _LABEL.search(attributes) if attributes else None
                 self.label.append(self.label[node] if not label else int(label[1] == "keep"))
                 self.chars.append(0)
