@@ -1,8 +1,10 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Texts are sets of word shingles; two link at a similarity of LIKE or more. A linked pair shares a shingle
-among the first fifth of either set in any common order, so only those are indexed (hash order, with
-shingles that a sample shows in many texts last). The join has two rounds:
+Texts are sets of word shingles; two link at a similarity of 80 % or more. In any common order, a linked pair
+shares shingles among the first quarter of either set: of a text with n shingles at least n / 25 (a fifth of
+n can miss in the other set, so a quarter less a fifth is left over, a twentieth of the smaller set). Only that
+quarter is indexed (hash order, with shingles that a sample shows in many texts last), and what shares too little
+of it goes no further. The join has two rounds:
 
 1. Partition. Each text is compared with one text of those it shares an index entry with: the one with
    which it shares most, among the smallest ids of the entries. Links found here give groups of similar texts.
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 
 from reelshelf.llm.components import components
 from reelshelf.llm.runtime import landed, python_ready
-from reelshelf.llm.shingles import mixed, shingle_sets
+from reelshelf.llm.shingles import mixed, shingle_sets, slices
 
 #: Similarity of 80 %: 5 * overlap >= 4 * union.
 BLOCK_TEXTS = 256
@@ -49,7 +51,7 @@ def _set_hashes(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         shingles, begins = shingle_sets(batch.column("text"))
         count = np.diff(begins)
         other = _set_hashes(mixed(shingles), begins)
@@ -61,7 +63,7 @@ def _signatures(batches):
 
 def _prefixes(frequent: np.ndarray):
     def rows(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             shingles, begins = shingle_sets(batch.column("text"))
             count = np.diff(begins)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -76,7 +78,7 @@ def _prefixes(frequent: np.ndarray):
                 late = frequent[at] == shingles
             order = np.lexsort((shingles, late, text))
             rank = np.arange(len(text)) - begins[text]
-            keep = (rank < count[text] // 5 + 1) & chosen[text]
+            keep = (rank < count[text] // 4 + 1) & chosen[text]
             token, text = shingles[order][keep], text[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(token.view(np.int64)), pa.array(ids[text]), pa.array(count[text].astype(np.int32))], names=["token", "id", "n"]
@@ -86,13 +88,13 @@ def _prefixes(frequent: np.ndarray):
 
 
 def _tokens(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         shingles, _ = shingle_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64))], names=["token"])
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         shingles, begins = shingle_sets(batch.column("text"))
         sets = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(shingles.view(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("id"), sets], names=["id", "tokens"])
@@ -106,6 +108,15 @@ def _frequent(texts: DataFrame) -> np.ndarray:
     return np.sort(rows.column("token").to_numpy().view(np.uint64))
 
 
+def _least_shared(n: Column) -> Column:
+    """Index entries that a text of n shingles has in common with each text it links with: at least n / 25 + 1 / 4.
+
+    A set of m has m // 4 + 1 entries and m // 5 at most that miss in the other set; that leaves m / 20 + 1 / 4
+    or more, for the smaller set of the two, which has at least 4 / 5 of n.
+    """
+    return F.ceil((4 * n + 25) / 100)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link."""
     left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
@@ -118,6 +129,14 @@ def _like_sizes(a: Column, b: Column) -> Column:
     return (5 * a >= 4 * b) & (5 * b >= 4 * a)
 
 
+def _narrowed(index: DataFrame) -> DataFrame:
+    """Entries that more than one text has, of texts with enough of them; least is an entry's smallest id."""
+    shared = index.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
+    found = landed(index.join(shared.select("token", "least"), "token"), "shared-index")
+    likely = found.groupBy("id", "n").count().filter(F.col("count") >= _least_shared(F.col("n"))).select("id").distinct()
+    return found.join(likely, "id", "left_semi")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """Per row doc_id, n_shingles, component_id (the smallest doc_id reachable over links).
 
@@ -137,13 +156,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     equal = landed(equal, "equal-sets")
 
     index = texts.mapInArrow(_prefixes(_frequent(texts)), "token long, id long, n int")
-    shared = index.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
-    entries = landed(index.join(shared.select("token", "least"), "token").join(equal.select(F.col("a").alias("id")), "id", "left_anti"), "index")
-    needed = entries.select("id").union(entries.select(F.col("least").alias("id"))).distinct()
+    entries = landed(_narrowed(index), "index").drop("least")
+    # once more, without equal sets and what has gone with the first pass
+    entries = landed(_narrowed(entries.join(equal.select(F.col("a").alias("id")), "id", "left_anti")), "index")
+    needed = entries.select("id").distinct()
     sets = landed(texts.join(needed, "id").mapInArrow(_sets, "id long, tokens array<long>"), "token-sets")
 
     # round 1: each text and the one of the least ids with which it shares most entries
-    votes = entries.filter("id != least").groupBy("id", "least").count()
+    votes = entries.filter("id != least").groupBy("id", "n", "least").count().filter(F.col("count") >= _least_shared(F.col("n")))
     best = votes.groupBy("id").agg(F.max(F.struct("count", -F.col("least"))).alias("best"))
     best = best.select(F.col("id").alias("a"), (-F.col("best").getField("col2")).alias("b"))
     near = landed(_linked(best, sets), "near-links")
@@ -163,8 +183,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     # of two groups, the texts of the smaller one ask the blocks of the larger one
     asks = F.struct("texts", "group") < F.struct(F.col("other_texts").alias("texts"), F.col("other").alias("group"))
     fits = (5 * F.col("n") >= 4 * F.col("n_min")) & (5 * F.col("n_max") >= 4 * F.col("n"))
-    asked = placed.join(cells, "token").filter(asks & fits).select("id", "other", "other_block").distinct()
-    asked = landed(asked, "asked")
+    asked = placed.join(cells, "token").filter(asks & fits).groupBy("id", "n", "other", "other_block").agg(F.count("*").alias("common"))
+    asked = landed(asked.filter(F.col("common") >= _least_shared(F.col("n"))).select("id", "other", "other_block"), "asked")
 
     blocks = asked.select("other", "other_block").distinct()
     inside = placed.select("id", "n", F.col("group").alias("other"), F.col("block").alias("other_block")).distinct()
@@ -186,3 +206,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     joined = signed.join(found, signed.id == found.node, "left")
     show = lambda c: F.when(c != _NULL_ID, c).cast(kind)
     return joined.select(show(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), show(F.coalesce("component", "id")).alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its group's smallest, with all their columns; of rows equal in doc_id and text one stays."""
+    groups = similar_groups(docs.select("doc_id", "text"))
+    gone = landed(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    left = docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
+    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        left = left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return left

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -35,6 +37,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def slices(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose texts have about so many bytes together (a longer text is a part of its own)."""
+    sizes = np.diff(text_bytes(batch.column("text"))[1])
+    begin, room = 0, most
+    for i, size in enumerate(sizes):
+        if size > room and i > begin:
+            yield batch.slice(begin, i - begin)
+            begin, room = i, most
+        room -= size
+    yield batch.slice(begin)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words (A-Z lower-cased) of all texts in order, and how many each text has.
 
