@@ -77,16 +77,13 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(plain, f"[{SPACE_CLASS}]+", " "))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(own: DataFrame) -> DataFrame:
     """A row for each line with a word: whose it is, its number, its hash with the host, its words, and its document's sketch."""
     norms = F.filter(F.transform(F.split("text", "\n", -1), normalised), lambda x: x != "")
-    host = F.xxhash64(F.col("source").isNull(), "source")
     sketch = F.unhex(F.array_min(F.transform("norms", lambda x: F.md5(x))))
-    whole = docs.select("doc_id", host.alias("host"), F.xxhash64("text").alias("text_hash"), norms.alias("norms"))
-    each = whole.select("doc_id", "host", "text_hash", F.xxhash64(sketch).alias("sketch"), F.posexplode("norms").alias("at", "norm"))
-    return each.select(
-        "doc_id", "host", "text_hash", "sketch", "at", F.xxhash64("host", "norm").alias("line"), F.size(F.split("norm", " ")).alias("words"),
-    )
+    whole = own.select(*_KEY, norms.alias("norms"))
+    each = whole.select(*_KEY, F.xxhash64(sketch).alias("sketch"), F.posexplode("norms").alias("at", "norm"))
+    return each.select(*_KEY, "sketch", "at", F.xxhash64("host", "norm").alias("line"), F.size(F.split("norm", " ")).alias("words"))
 
 
 def frequent_lines(docs: DataFrame, limit: int) -> DataFrame:
@@ -95,6 +92,33 @@ def frequent_lines(docs: DataFrame, limit: int) -> DataFrame:
     return counted.filter(F.col("count") > limit).select("line")
 
 
+_KEY = ["doc_id", "host", "text_hash"]
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    """What tells rows apart: doc_id, host, text_hash; and text and source."""
+    text = F.coalesce("text", F.lit(""))
+    host = F.xxhash64(F.col("source").isNull(), "source")
+    return docs.select("doc_id", host.alias("host"), F.xxhash64(text).alias("text_hash"), text.alias("text"), "source")
+
+
+def _same(a: DataFrame, b: DataFrame, prefix: str) -> Column:
+    return a.doc_id.eqNullSafe(b[f"{prefix}doc_id"]) & (a.host == b[f"{prefix}host"]) & (a.text_hash == b[f"{prefix}text_hash"])
+
+
+def _judged(docs: DataFrame, limit: int, least_percent: int) -> DataFrame:
+    """The key of each row, m (the base measures), removed_words and kept."""
+    own = _own(docs)
+    frequent = landed(frequent_lines(own, limit), "frequent-lines")
+    # dealt out by document, so that both steps use one shuffle; equal rows of the table count once
+    taken = _lines(own).join(frequent, "line").select(*_KEY, "at", "words").repartition(*_KEY)
+    taken = taken.dropDuplicates([*_KEY, "at"]).groupBy(*(F.col(c).alias(f"of_{c}") for c in _KEY)).agg(F.sum("words").alias("words"))
+    times = own.select(*_KEY, base_measures(F.col("text")).alias("m"))
+    removed = F.coalesce("words", F.lit(0))
+    enough = 100 * (F.col("m.n_words") - removed) >= least_percent * F.col("m.n_words")
+    return times.join(taken, _same(times, taken, "of_"), "left").select(*_KEY, "m", removed.alias("removed_words"), (~F.col("m.base_failed") & enough).alias("kept"))
+
+
 def quality_rules(docs: DataFrame, limit: int = 50, least_percent: int = 20) -> DataFrame:
     """Per row doc_id, the base measures, removed_words, and kept.
 
@@ -104,19 +128,12 @@ def quality_rules(docs: DataFrame, limit: int = 50, least_percent: int = 20) ->
     host have it; kept is false if the base rules fail or if fewer than least_percent of a document's
     words lie outside frequent lines.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
-    frequent = landed(frequent_lines(own, limit), "frequent-lines")
-    key = ["doc_id", "host", "text_hash"]
-    # dealt out by document, so that both steps use one shuffle; equal rows of the table count once
-    taken = _lines(own).join(frequent, "line").select(*key, "at", "words").repartition(*key)
-    taken = taken.dropDuplicates([*key, "at"]).groupBy(*(F.col(c).alias(f"of_{c}") for c in key)).agg(F.sum("words").alias("words"))
-    times = own.select(
-        "doc_id", F.xxhash64(F.col("source").isNull(), "source").alias("host"), F.xxhash64("text").alias("text_hash"),
-        base_measures(F.col("text")).alias("m"),
-    )
-    joined = times.join(taken, times.doc_id.eqNullSafe(taken.of_doc_id) & (times.host == taken.of_host) & (times.text_hash == taken.of_text_hash), "left")
-    removed = F.coalesce("words", F.lit(0))
-    return joined.select(
-        "doc_id", "m.*", removed.alias("removed_words"),
-        (~F.col("m.base_failed") & (100 * (F.col("m.n_words") - removed) >= least_percent * F.col("m.n_words"))).alias("kept"),
-    )
+    return _judged(docs, limit, least_percent).select("doc_id", "m.*", "removed_words", "kept")
+
+
+def kept_documents(docs: DataFrame, limit: int = 50, least_percent: int = 20) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with all their columns."""
+    rejected = landed(_judged(docs, limit, least_percent).filter("NOT kept").select(*(F.col(c).alias(f"__{c}") for c in _KEY)).distinct(), "rejected")
+    host, text_hash = F.xxhash64(F.col("source").isNull(), "source"), F.xxhash64(F.coalesce("text", F.lit("")))
+    same = docs.doc_id.eqNullSafe(rejected["__doc_id"]) & (host == rejected["__host"]) & (text_hash == rejected["__text_hash"])
+    return docs.join(rejected, same, "left_anti")
