@@ -8,7 +8,7 @@ _FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?|nan)\s*$
 _INT_TEXT = r"^\s*[+-]?\d+\s*$"
 # 2^27 + 1: splits a double into two halves whose products with 10^n are exact.
 _SPLITTER = 134217729.0
-_EXACT_LIMIT = float(2 ** 49)
+_WHOLE_LIMIT = float(2 ** 53)
 
 
 def truthy_text(c: Column) -> Column:
@@ -35,10 +35,16 @@ def exact_round(x: Column, digits: int) -> Column:
     spread = x * F.lit(_SPLITTER)
     high = spread - (spread - x)
     low = x - high
-    down = F.floor(x * F.lit(scale)).cast("double")
-    off_tie = (high * F.lit(scale) - (down + F.lit(0.5))) + low * F.lit(scale)
-    up = (off_tie > 0) | ((off_tie == 0) & (F.pmod(down, F.lit(2.0)) == 1.0))
-    return F.when(F.abs(x) < F.lit(_EXACT_LIMIT), (down + up.cast("double")) / F.lit(scale)).otherwise(x)
+    near = F.rint(x * F.lit(scale))
+    # the exact distance of x * scale from near, less and plus a half; each has the right sign
+    above = (high * F.lit(scale) - near - F.lit(0.5)) + low * F.lit(scale)
+    below = (high * F.lit(scale) - near + F.lit(0.5)) + low * F.lit(scale)
+    odd = F.pmod(near, F.lit(2.0)) == 1.0
+    up = (above > 0) | ((above == 0) & odd)
+    down = (below < 0) | ((below == 0) & odd)
+    # from 2^53 / scale on, doubles lie further apart than the last digit, so x is its own rounding
+    rounded = (near + up.cast("double") - down.cast("double")) / F.lit(scale)
+    return F.when(F.abs(x) < F.lit(_WHOLE_LIMIT / scale), rounded).otherwise(x)
 
 
 def parse_float(c: Column) -> Column:

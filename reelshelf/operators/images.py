@@ -11,8 +11,8 @@ IMAGE_COLUMNS = [
 
 
 def image_columns(images: DataFrame, key: str = "file_path") -> DataFrame:
-    """IMAGES -> catalogue columns; one row per key is the table's contract."""
-    return images.select(
+    """IMAGES -> catalogue columns, one row per key; of several rows of a key the greatest, column by column."""
+    facts = images.select(
         key,
         F.col("width").alias("image_width"),
         F.col("height").alias("image_height"),
@@ -21,3 +21,5 @@ def image_columns(images: DataFrame, key: str = "file_path") -> DataFrame:
         A.exif_text(F.col("exif"), "Model").alias("camera_model"),
         A.exif_text(F.col("exif"), "DateTimeOriginal").alias("date_taken"),
     )
+    best = facts.groupBy(key).agg(F.max(F.struct(*IMAGE_COLUMNS)).alias("best"))
+    return best.select(key, *[F.col("best")[c].alias(c) for c in IMAGE_COLUMNS])

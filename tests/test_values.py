@@ -85,3 +85,11 @@ def test_timestamps(spark):
     assert tuple(df.select(N.iso_timestamp(F.col("a")), N.iso_timestamp(F.col("b"))).first()) == (
         "2020-01-02T03:04:05", "2020-01-02T03:04:05.500000",
     )
+
+
+def test_rounding_equals_python_in_every_decade(spark):
+    rng = random.Random(3)
+    values = [rng.choice((1, -1)) * rng.uniform(1, 10) * 10.0 ** e for e in range(-3, 301, 1) for _ in range(12 if e < 20 else 2)]
+    values += [4897515925693.154, 106254413581742.06, 0.005, 0.125, 2.675, 1234.565, 0.5, 2.5, 45035996273704.965, 9007199254740.995]
+    for digits in (1, 2, 3):
+        assert one(spark, values, lambda c: M.exact_round(c, digits), "double") == [round(v, digits) for v in values]
