@@ -31,15 +31,13 @@ def lookup(files: DataFrame, state: DataFrame, enrichment: bool = True, force_if
 
 def reusable(files: DataFrame, state: DataFrame, enrichment: bool = True, force_if_missing: bool = True) -> DataFrame:
     """State rows of listed, unchanged files that need no new work."""
-    listed = files.select("file_path", "mtime", "size_bytes")
-    kept = state.filter(_reuse(enrichment, force_if_missing))
-    return kept.join(listed, ["file_path", "mtime", "size_bytes"], "left_semi").select(*state.columns)
+    kept = lookup(files, state, enrichment, force_if_missing).filter("reuse = 1").select("file_path")
+    return state.join(kept, "file_path", "left_semi").select(*state.columns)
 
 
 def to_process(files: DataFrame, state: DataFrame, enrichment: bool = True, force_if_missing: bool = True) -> DataFrame:
-    """Listed files that have no reusable state row."""
-    known = state.filter(_reuse(enrichment, force_if_missing)).select("file_path", "mtime", "size_bytes")
-    return files.join(known, ["file_path", "mtime", "size_bytes"], "left_anti").select(*files.columns)
+    """Listed files that have no reusable state row: one join by path, the layout that unique paths already have."""
+    return lookup(files, state, enrichment, force_if_missing).filter("reuse = 0").select(*files.columns)
 
 
 def prune(state: DataFrame, files: DataFrame) -> DataFrame:

@@ -241,15 +241,27 @@ def _chunk_lists(entries: Column, lists: dict, languages: str) -> list[Column]:
     ]
 
 
+def chunk_of(chunk: Column | None) -> Column:
+    """The given chunk, or by default runs of 2^CHUNK_BITS tracks."""
+    return F.shiftright("track_order", CHUNK_BITS) if chunk is None else chunk
+
+
+def dealt_by_chunk(tracks: DataFrame, key: str, chunk: Column | None = None) -> DataFrame:
+    """Tracks laid out by file and chunk.
+
+    For tracks that a join has laid out by file alone: the fold would take that
+    layout, and all tracks of one file would meet in one task.
+    """
+    return tracks.repartition(F.col(key), chunk_of(chunk))
+
+
 def fold_tracks(tracks: DataFrame, key: str = "file_path", chunk: Column | None = None) -> DataFrame:
     """Fold a TRACKS table to one row per ``key`` with all technical columns.
 
     ``chunk`` must not decrease with track_order. The default cuts a file into
     runs of 2^CHUNK_BITS, given that track_order counts the file's tracks.
     """
-    if chunk is None:
-        chunk = F.shiftright("track_order", CHUNK_BITS)
-    facts = _track_facts(tracks, key, chunk)
+    facts = _track_facts(tracks, key, chunk_of(chunk))
 
     per_chunk = (
         facts.groupBy(key, "chunk")

@@ -1,27 +1,28 @@
-"""Listing of library folders through Spark's file source.
+"""Listing of library folders, level by level in tasks.
 
-No file content is read: only path, length and modification time are selected.
-The source has no creation time, so created_at_ts stays NULL. The driver holds
-the listing while it plans; beyond some ten million files, land a listing table
-and use ``sources.tables.read_files``.
+The folders of a level are a table; tasks list them, and the folders they find are the next level. Hidden names
+are listed like others, a folder that can't be read is reported and skipped, a file that can't be is left out. The
+driver holds only the roots. Tasks list through the file system they see, so the roots have to be mounted on
+all executors; for other stores land a listing table and use ``sources.tables.read_files``.
 """
 
 import logging
-from functools import reduce
+import os
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelshelf import schemas
 from reelshelf.functions import fixed_values as V
 from reelshelf.operators.inventory import filter_extensions
+from reelshelf.session import scratch_dir
 
 logger = logging.getLogger(__name__)
 
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+FOLDERS_PER_TASK = 64
+_FOUND = "path string, source_root string, folder boolean, size_bytes long, modified double, changed double"
 
 
 def library_roots(media_root: str) -> list[str]:
@@ -29,22 +30,65 @@ def library_roots(media_root: str) -> list[str]:
     return [f"{media_root.rstrip('/')}/{name}" for name in V.ROOT_FOLDERS]
 
 
+def _local(root: str) -> str:
+    if root.startswith("file:"):
+        return "/" + root[len("file:") :].lstrip("/")
+    if "://" in root:
+        raise ValueError(f"tasks can't list {root}: land a listing table and read it with sources.tables.read_files")
+    return root
+
+
+def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["path", "source_root", "folder", "size_bytes", "modified", "changed"]
+    for batch in batches:
+        for path, root in zip(batch["path"], batch["source_root"]):
+            rows = []
+            try:
+                with os.scandir(path) as found:
+                    for entry in found:
+                        try:
+                            if entry.is_dir(follow_symlinks=False):
+                                rows.append((entry.path, root, True, 0, 0.0, 0.0))
+                            elif not entry.is_dir():
+                                about = entry.stat()
+                                rows.append((entry.path, root, False, about.st_size, about.st_mtime, about.st_ctime))
+                        except OSError as error:
+                            logger.warning("left out: %s", error)
+                        if len(rows) >= 10_000:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows = []
+            except OSError as error:
+                logger.warning("folder not listed: %s", error)
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+
 def list_roots(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """FILES of all roots; a missing root is reported and skipped."""
-    listings = []
+    """FILES of all roots; a missing root is reported and skipped.
+
+    Links to folders are not followed. Each level is written to the scratch folder before the next begins.
+    """
+    present = []
     for root in roots:
-        if not path_exists(spark, root):
+        if os.path.isdir(_local(root)):
+            present.append((_local(root).rstrip("/") or "/", root.rstrip("/")))
+        else:
             logger.warning("root folder not accessible: %s", root)
-            continue
-        listings.append(
-            spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
-                F.col("path").alias("file_path"),
-                F.lit(root.rstrip("/")).alias("source_root"),
-                F.col("length").alias("size_bytes"),
-                F.col("modificationTime").cast("timestamp_ntz").alias("mtime"),
-                F.lit(None).cast("timestamp_ntz").alias("ctime"),
-            )
-        )
-    if not listings:
+    if not present:
         return spark.createDataFrame([], schemas.FILES)
-    return filter_extensions(reduce(DataFrame.unionAll, listings))
+    out = scratch_dir(spark, "listing")
+    level, depth = spark.createDataFrame(present, "path string, source_root string"), 0
+    folders = len(present)
+    while folders:
+        tasks = -(-folders // FOLDERS_PER_TASK)
+        level.repartition(tasks).mapInPandas(_entries, _FOUND).write.parquet(f"{out}/level={depth}")
+        level = spark.read.parquet(f"{out}/level={depth}").filter("folder").select("path", "source_root")
+        folders, depth = level.count(), depth + 1
+
+    def moment(c: str):
+        return F.timestamp_micros(F.round(F.col(c) * 1e6).cast("long")).cast("timestamp_ntz")
+
+    files = spark.read.parquet(out).filter("NOT folder").select(
+        F.col("path").alias("file_path"), "source_root", "size_bytes", moment("modified").alias("mtime"), moment("changed").alias("ctime"),
+    )
+    return filter_extensions(files)

@@ -135,3 +135,31 @@ def test_corrupt_reply_is_an_error_row_and_the_file_stays(spark, inputs):
 def test_search_explode_ranks_by_position(spark):
     replies = spark.createDataFrame([("tv", "en-US", "q", [(5, 2001), (4, None)])], schemas.REF_SEARCH_REPLIES)
     assert [(r["rank"], r.id, r.year) for r in enrichment.explode_search(replies).collect()] == [(1, 5, 2001), (2, 4, None)]
+
+
+def test_hidden_names_and_unreadable_folders_are_no_loss(spark, tmp_path):
+    for name in ("a", "_b", ".c", "_extras/d", ".hid/e", "deep/er/x [1080p] (1999)"):
+        file = tmp_path / "Movies" / f"{name}.mkv"
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"123")
+    (tmp_path / "Movies" / "gone.mkv").symlink_to(tmp_path / "nowhere")
+    rows = listing.list_roots(spark, [str(tmp_path / "Movies")]).collect()
+    assert sorted(os.path.basename(r.file_path) for r in rows) == sorted(f"{n}.mkv" for n in ("a", "_b", ".c", "d", "e", "x [1080p] (1999)"))
+    assert {r.size_bytes for r in rows} == {3} and all(r.mtime and r.ctime for r in rows)
+
+
+def test_doubled_image_rows_leave_one_row_per_file(spark, inputs):
+    twice = Inputs(inputs.files, inputs.tracks, inputs.images.unionAll(inputs.images), inputs.ref_search, inputs.ref_details)
+    assert build_catalog(twice, 2026, NOW).count() == build_catalog(inputs, 2026, NOW).count()
+
+
+def test_tracks_of_changed_files_are_dealt_by_chunk(spark, inputs):
+    """The semi join lays tracks out by file; the fold must not take that layout over."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        run = incremental_run(inputs, StateTable(spark, scratch_dir(spark, "p")).load(), 2026, NOW)
+        plan = run.processed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert any("hashpartitioning(file_path" in line and "shiftright(track_order" in line for line in plan.splitlines())
