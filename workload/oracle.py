@@ -343,15 +343,15 @@ def build():
         "size_units": _named("size_bytes", "size_mb", "size_gb"),
         "is_series": "SELECT file_path, CAST(media_type IN ('series','series_pl','series_original','kids_series') OR season_number IS NOT NULL AS INTEGER) AS is_series FROM named",
         "ts_format": f"SELECT event_id, {_iso('ts')} AS ts_iso FROM events",
-        "safe_float": f"SELECT file_id, track_order, {_float('bit_rate')} AS bit_rate, {_float('frame_rate')} AS frame_rate FROM media_tracks WHERE track_type = 'Video'",
-        "safe_int": f"SELECT file_id, track_order, {_W} AS width, {_H} AS height FROM media_tracks WHERE track_type = 'Video'",
+        "safe_float": f"SELECT file_id, track_order, {_float('bit_rate')} AS bit_rate, {_float('frame_rate')} AS frame_rate FROM media_tracks",
+        "safe_int": f"SELECT file_id, track_order, {_W} AS width, {_H} AS height FROM media_tracks",
         "light_level": f"SELECT file_id, track_order, {_light('maximum_content_light_level')} AS max_cll, {_light('mastering_display_luminance')} AS luminance FROM media_tracks WHERE track_type = 'Video'",
         "delay_ms": f"SELECT file_id, track_order, {_delay('delay_relative_to_video')} AS delay_ms, {_ALISTS['audio_delays_ms']} AS delay_text FROM media_tracks WHERE track_type = 'Audio'",
         "normalize_lang": f"SELECT file_id, track_order, {_lang('language')} AS code FROM media_tracks",
         "duration_fmt": _folded("duration_sec", "duration_fmt"),
         "bitrate_kbps": "SELECT file_id, track_order, " + ", ".join(
             f"{_round(f'nullif({_float(a)}, 0) / 1000', 2)} AS {o}" for o, (k, a) in _NUMBERS.items() if k == "Video"
-        ) + " FROM media_tracks WHERE track_type = 'Video'",
+        ) + " FROM media_tracks",
         "is_4k": _folded("is_4k"),
         "hdr_flags": _folded("has_hdr", "has_dolby_vision"),
         "audio_tech_flags": _folded("has_atmos", "has_dts_x", "has_lossless_audio"),

@@ -50,8 +50,8 @@ def _named(v: Views) -> DataFrame:
     return inventory.name_columns(inventory.file_inventory(v.files), AS_OF_YEAR, SCAN_TS)
 
 
-def _catalog(v: Views) -> DataFrame:
-    return build_catalog(v.inputs, AS_OF_YEAR, SCAN_TS)
+def _catalog(v: Views, enrich: bool = True) -> DataFrame:
+    return build_catalog(v.inputs, AS_OF_YEAR, SCAN_TS, enrich)
 
 
 def _kind(v: Views, kind: str) -> DataFrame:
@@ -153,12 +153,12 @@ def run_stats(v):
 
 # --- tracks -----------------------------------------------------------------------
 def safe_float(v):
-    parsed = _kind(v, "Video").select(*_TRACK, parse_float(F.col("bit_rate")).alias("b"), parse_float(F.col("frame_rate")).alias("f"))
+    parsed = v.tracks.select(*_TRACK, parse_float(F.col("bit_rate")).alias("b"), parse_float(F.col("frame_rate")).alias("f"))
     return parsed.select(*_TRACK, exact_round(F.col("b"), 2).alias("bit_rate"), exact_round(F.col("f"), 2).alias("frame_rate"))
 
 
 def bitrate_kbps(v):
-    parsed = _kind(v, "Video").select(*_TRACK, *[parse_float(F.col(c)).alias(c) for c in ("bit_rate", "bit_rate_maximum", "source_duration")])
+    parsed = v.tracks.select(*_TRACK, *[parse_float(F.col(c)).alias(c) for c in ("bit_rate", "bit_rate_maximum", "source_duration")])
     rounded = parsed.select(*_TRACK, *[exact_round(F.col(c), 2).alias(c) for c in parsed.columns[2:]])
     return rounded.select(
         *_TRACK, thousandth(F.col("bit_rate")).alias("video_bitrate_kbps"),
@@ -183,13 +183,17 @@ def image_metadata(v):
 
 # --- enrichment ---------------------------------------------------------------------
 def _keys(v):
-    return E.distinct_search_keys(E.with_search_key(_named(v))).filter(F.col("endpoint") != "")
+    # asked is no grouping column, so the filter stays above the parsing of names
+    keyed = E.with_search_key(_named(v))
+    keys = E.distinct_search_keys(keyed).columns
+    return keyed.groupBy(*keys).agg(F.max("endpoint").alias("asked")).filter(F.col("asked") != "").drop("asked")
 
 
 def enrich_gate(v):
-    return E.with_search_key(_named(v)).filter(F.col("endpoint") != "").select(
-        "file_path", "endpoint", "language", "title", "search_year"
-    )
+    columns = ["file_path", "endpoint", "language", "title", "search_year"]
+    listing = E.with_search_key(_named(v)).groupBy("file_path").agg(*[F.max(c).alias(c) for c in columns[1:]])
+    # the paths are unique; as an aggregate the endpoint is filtered above the parsing of names
+    return listing.filter(F.col("endpoint") != "").select(*columns)
 
 
 def ref_details_parse(v):
@@ -205,9 +209,8 @@ def enrich_details(v):
 # --- state ------------------------------------------------------------------------------
 def incremental_split(v):
     listing = inventory.file_inventory(v.files)
-    keep = state_ops.reusable(listing, v.state).select("file_path", F.lit("reuse").alias("action"))
-    redo = state_ops.to_process(listing, v.state).select("file_path", F.lit("process").alias("action"))
-    return keep.unionByName(redo)
+    action = F.when(F.col("reuse") == 1, "reuse").otherwise("process")
+    return state_ops.lookup(listing, v.state).select("file_path", action.alias("action"))
 
 
 def incremental_catalog(v):
@@ -277,7 +280,7 @@ _QUERIES = {
     "ts_format": lambda v: v.table("events").select("event_id", N.iso_timestamp(F.col("ts")).alias("ts_iso")),
     # track attributes
     "safe_float": safe_float,
-    "safe_int": lambda v: _kind(v, "Video").select(
+    "safe_int": lambda v: v.tracks.select(
         *_TRACK, safe_int(F.col("width")).alias("width"), safe_int(F.col("height")).alias("height")),
     "light_level": lambda v: _kind(v, "Video").select(
         *_TRACK, A.light_level(F.col("maximum_content_light_level")).alias("max_cll"),
@@ -302,7 +305,7 @@ _QUERIES = {
     "subtitle_lang_flags": _fold_columns(*TEXT_FLAGS),
     "chapters": _fold_columns("has_chapters", "chapter_count"),
     "content_language": content_language,
-    "quality_score": lambda v: _catalog(v).select("file_path", "quality_score", "processing_error"),
+    "quality_score": lambda v: _catalog(v, enrich=False).select("file_path", "quality_score", "processing_error"),
     # enrichment
     "enrich_gate": enrich_gate,
     "search_top1": lambda v: E.top_candidates(v.search).select(
@@ -318,8 +321,8 @@ _QUERIES = {
     # whole catalogue
     "build_catalog": _catalog,
     "catalog_summary": lambda v: reports.catalog_summary(_named(v)),
-    "quality_breakdown": lambda v: reports.quality_breakdown(_catalog(v)),
-    "language_coverage": lambda v: reports.language_coverage(_catalog(v)),
+    "quality_breakdown": lambda v: reports.quality_breakdown(_catalog(v, enrich=False)),
+    "language_coverage": lambda v: reports.language_coverage(_catalog(v, enrich=False)),
     "export_parquet": export_parquet,
 }
 

@@ -40,13 +40,13 @@ FROM (SELECT *, CAST(o_custkey AS VARCHAR(20)) AS k, CAST(year(o_orderdate) AS V
   FROM orders) o
 """
 
-# The order of an order's lines as one number: line number, then a spread of the
-# part (its low six bits), then part and supplier. No window, so an order with
-# very many lines never gathers in one task. The top bits are the fold's chunk.
-CHUNK_SHIFT = 46
+# The order of an order's lines as one number: line number, then part and supplier.
+# No window, so an order with very many lines never gathers in one task. The top
+# bits are the fold's chunk: 512 lines, as a line number occurs once in an order.
+CHUNK_SHIFT = 49
 MEDIA_TRACKS = """
 SELECT l_orderkey AS file_id,
-  (CAST(l_linenumber AS BIGINT) * 64 + l_partkey % 64) * 70368744177664 + l_partkey * 1024 + l_suppkey % 1024 AS track_order,
+  CAST(l_linenumber AS BIGINT) * 1099511627776 + l_partkey * 1024 + l_suppkey % 1024 AS track_order,
   CASE l_linenumber WHEN 1 THEN 'Video' WHEN 2 THEN 'Audio' WHEN 3 THEN 'Audio' WHEN 4 THEN 'Audio' WHEN 5 THEN 'Text' WHEN 6 THEN 'Text' ELSE 'Menu' END AS track_type,
   CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'FLAC' WHEN 1 THEN 'TrueHD' WHEN 2 THEN 'E-AC-3' WHEN 3 THEN 'AAC' WHEN 4 THEN 'HEVC' WHEN 5 THEN 'AVC' END AS format,
   CASE CAST(l_partkey % 11 AS INT) WHEN 0 THEN 'Dolby TrueHD with Dolby Atmos' WHEN 1 THEN 'DTS:X' WHEN 2 THEN 'DTS-HD Master Audio' WHEN 3 THEN '' END AS commercial_name,
@@ -112,26 +112,25 @@ FROM lineitem GROUP BY l_orderkey
 SEARCH_REPLIES = """
 SELECT e AS endpoint,
   CASE WHEN c_custkey % 19 = 8 OR c_custkey % 19 = 16 THEN 'pl-PL' ELSE 'en-US' END AS language,
-  'Title ' || CAST(c_custkey AS VARCHAR(20)) AS query,
+  CASE WHEN c_custkey % 11 = 0 THEN 'Other ' ELSE 'Title ' END || CAST(c_custkey AS VARCHAR(20)) AS query,
   transform(array(1, 2, 3), r -> named_struct(
     'id', c_custkey * 10 + r + CASE WHEN e = 'tv' THEN 3 ELSE 0 END,
     'year', 1993 + CAST((c_custkey + r * 3) % 9 AS INT))) AS results
-FROM (SELECT c_custkey, explode(array('movie', 'tv')) AS e FROM customer WHERE c_custkey % 11 <> 0) c
+FROM (SELECT c_custkey, explode(array('movie', 'tv')) AS e FROM customer) c
 """
 # The same candidates for the oracle, already exploded.
 REF_SEARCH_ORACLE = """
 SELECT e AS endpoint,
   CASE WHEN c_custkey % 19 = 8 OR c_custkey % 19 = 16 THEN 'pl-PL' ELSE 'en-US' END AS language,
-  'Title ' || CAST(c_custkey AS VARCHAR(20)) AS query,
+  CASE WHEN c_custkey % 11 = 0 THEN 'Other ' ELSE 'Title ' END || CAST(c_custkey AS VARCHAR(20)) AS query,
   1993 + CAST((c_custkey + r * 3) % 9 AS INT) AS year,
   r AS rank, c_custkey * 10 + r + CASE WHEN e = 'tv' THEN 3 ELSE 0 END AS id
 FROM customer CROSS JOIN (SELECT 1 AS r UNION ALL SELECT 2 UNION ALL SELECT 3) v
   CROSS JOIN (SELECT 'movie' AS e UNION ALL SELECT 'tv') w
-WHERE c_custkey % 11 <> 0
 """
 
 REF_DETAILS = """
-SELECT endpoint, language, id,
+SELECT endpoint, CASE WHEN id % 7 = 4 THEN 'xx-XX' ELSE language END AS language, id,
   '{' || CASE WHEN endpoint = 'movie' THEN '"title":"' ELSE '"title":"","name":"' END || query || '","original_title":"O ' || query ||
   '","vote_average":' || CAST(id % 10 AS VARCHAR(5)) || '.5,"vote_count":' || CAST(id AS VARCHAR(20)) ||
   ',"genres":' || CASE WHEN id % 5 = 0 THEN '[]' ELSE '[{"name":"Drama"},{"name":"G' || CAST(id % 6 AS VARCHAR(5)) || '"}]' END ||
@@ -139,7 +138,7 @@ SELECT endpoint, language, id,
   CASE WHEN id % 3 = 0 THEN ',"overview":"About ' || query || '","poster_path":"/p' || CAST(id AS VARCHAR(20)) || '.jpg"' ELSE '' END ||
   CASE WHEN endpoint = 'movie' THEN ',"runtime":' || CAST(60 + id % 90 AS VARCHAR(5)) ELSE ',"episode_run_time":' || CASE WHEN id % 4 = 0 THEN '[]' ELSE '[45,50]' END END ||
   ',"production_countries":[{"iso_3166_1":"PL"},{"iso_3166_1":"US"}]}' AS json
-FROM ref_search WHERE id % 7 <> 4
+FROM ref_search
 """
 # Some replies cut off in the middle.
 BROKEN_DETAILS = """
@@ -155,10 +154,10 @@ FROM media_files WHERE file_path LIKE '%.JPG'
 """
 
 STATE = """
-SELECT CASE WHEN file_id % 11 = 0 THEN 'gone/' || file_path ELSE file_path END AS file_path, mtime,
+SELECT CASE WHEN file_id % 11 = 0 OR file_id % 3 = 0 THEN 'gone/' || file_path ELSE file_path END AS file_path, mtime,
   CASE WHEN file_id % 7 = 0 THEN size_bytes + 1 ELSE size_bytes END AS size_bytes,
   CAST(file_id % 2 AS INT) AS tmdb_enriched
-FROM media_files WHERE file_id % 3 <> 0
+FROM media_files
 """
 
 # A raw listing as text: some sizes are no numbers, some rows have no time.
@@ -177,13 +176,8 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A given table. A small file comes as one split; the derivation is heavy enough
-        to spread its rows then. Large tables have splits enough and aren't shuffled."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("lineitem", "orders") and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
+        """A given table."""
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def _sql(self, text: str, **frames: DataFrame) -> DataFrame:
         text = text.replace("{", "{{").replace("}", "}}")
