@@ -260,7 +260,9 @@ def _third_pass(batches):
 
 def _settled(items: DataFrame) -> DataFrame:
     """items that are repeats, or that must go on to the next digit (kind)."""
-    places = Window.partitionBy("slot", "full").orderBy(_ID, "__th", "at")
+    # edges follow from the place; as part of the order they keep the shuffle the same for all that read it
+    edges = [c for c in items.columns if c.endswith("_edge")]
+    places = Window.partitionBy("slot", "full").orderBy(_ID, "__th", "at", *edges)
     around = Window.partitionBy("slot")
     ranked = items.repartition("slot").withColumn("__rank", F.rank().over(places))
     ranked = ranked.withColumn("__many", F.min("full").over(around) < F.max("full").over(around))
@@ -277,10 +279,11 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """__id, __th and runs (packed: first window << 16 | number of windows) of windows that also start earlier. texts: __id, __th, text."""
+    """__id, __th and runs (packed: first window << 16 | number of windows) of windows that also start earlier. texts: __id, __th, text, and more."""
     item = _ITEM
-    first = landed(_settled(texts.mapInArrow(_first_pass, item)).select("key", "full", _ID, "__th", "at", "kind"), "suffix-digit-1")
+    first = landed(_settled(texts.select(_ID, "__th", "text").mapInArrow(_first_pass, item)).select("key", "full", _ID, "__th", "at", "kind"), "suffix-digit-1")
     open_runs = first.filter(F.col("kind") == _SPLIT).groupBy(_ID, "__th").agg(F.collect_list("at").alias("runs"))
+    # all columns stay, so that this join and the one with the result share one shuffle of the texts
     again = texts.join(open_runs, [_ID, "__th"]).mapInArrow(_second_pass, f"{item}, {_EDGES}")
     second = _settled(again)
     third = _settled(second.filter(F.col("kind") == _SPLIT).drop("kind", "full").mapInArrow(_third_pass, item))
@@ -309,8 +312,7 @@ def _kept(data: np.ndarray, runs) -> tuple[bytes, int, int]:
 def _with_runs(docs: DataFrame) -> DataFrame:
     python_ready(docs.sparkSession)
     named = _named(docs)
-    texts = named.select(_ID, "__th", "text")
-    return named.join(repeated_runs(texts), [_ID, "__th"], "left")
+    return named.join(repeated_runs(named), [_ID, "__th"], "left")
 
 
 def suffix_digests(docs: DataFrame) -> DataFrame:
