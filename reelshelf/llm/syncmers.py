@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelshelf.llm.runtime import python_ready
-from reelshelf.llm.shingles import followed, mixed, text_bytes
+from reelshelf.llm.shingles import followed, mixed, slices, text_bytes
 
 #: Lengths of anchors and of the strings inside them, and those for texts of fewer than SHORT bytes.
 SCALE, SHORT_SCALE, SHORT = (16, 8), (6, 2), 128
@@ -160,7 +160,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
     def rows(batches):
         held = None  # the last row so far, waiting for its next one: (doc_id, part, text, fingerprint)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             ids, parts, peeks = (batch.column(c).to_pylist() for c in ("doc_id", "part", "peek"))
             texts = batch.column("text").to_pylist()
             prints = fingerprints(batch.column("text"))
