@@ -22,6 +22,7 @@ from itertools import islice
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from reelshelf.llm.runtime import SPACES, python_ready
 
@@ -382,7 +383,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, ids])
 
     docs = docs.select(*(f"`{c}`" for c in names))
-    schema = docs.schema.add(ids, "array<int>")
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))])
     return docs.mapInArrow(encoded, schema)
 
 
@@ -401,7 +402,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, pa.string())], names=[*names, text])
 
     docs = docs.select(*(f"`{c}`" for c in names))
-    schema = docs.schema.add(text, "string")
+    schema = StructType([*docs.schema.fields, StructField(text, StringType())])
     return docs.mapInArrow(decoded, schema)
 
 

@@ -33,7 +33,7 @@ SAMPLE = 16  # one text in so many shows which shingles are frequent
 FREQUENT_IN_SAMPLE = 4
 FREQUENT_MOST = 100_000  # entries of the list that goes to all tasks; the order changes speed only, not results
 
-_NULL_ID = -(1 << 63)
+_NULL_ID = -(1 << 63) + 1  # can be negated
 
 
 def _enough(overlap: Column, a: Column, b: Column) -> Column:

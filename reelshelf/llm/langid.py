@@ -79,8 +79,9 @@ class Automaton:
             if after:
                 state = after
             else:
-                count += 1
+                count += state > 0
                 state = table[c]
+                count += state == 0  # a letter that the language doesn't have
         return count + (state > 0)
 
 
@@ -133,8 +134,9 @@ class Model:
             after = self.table[state[:, :active] + c]
             missed = after == 0
             if missed.any():
-                count[:, :active] += missed
                 again = self.table[roots + c]
+                count[:, :active] += missed & (state[:, :active] != roots)
+                count[:, :active] += missed & (again == 0)
                 after = np.where(missed, np.where(again == 0, roots, again), after)
             state[:, :active] = after
             at += 1
@@ -190,8 +192,8 @@ def predict_languages(docs: DataFrame) -> DataFrame:
     """Per row doc_id, held_out, lang_pred, score.
 
     docs: doc_id, text, lang; lang is read only of rows that are not held out, to learn. A text that is null
-    or has no letter is und with score 0, so is every text if no row has a label. Letters that no language
-    has are phrases of their own. Repeated rows give equal rows; other columns are not read.
+    or has no letter is und with score 0, so is every text if no row has a label. A letter that a
+    language doesn't have is a phrase of its own. Repeated rows give equal rows; other columns are not read.
     """
     python_ready(docs.sparkSession)
     texts = training_texts(docs.select("doc_id", "text", "lang"))

@@ -210,7 +210,7 @@ def _second_pass(batches):
             key, full, row, at, left, right = (np.concatenate(x) for x in zip(*found))
             return _items(key, full, ids[row], th[row], at, left, right)
 
-        for row, runs in enumerate(batch.column("runs")):
+        for row, runs in enumerate(batch.column("__runs")):
             packed = np.unique(runs.values.to_numpy(zero_copy_only=False))
             for piece in np.array_split(packed, max(1, len(packed) >> 14)):
                 own = data[offsets[row] : offsets[row + 1]]
@@ -279,16 +279,16 @@ def _named(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(texts: DataFrame) -> DataFrame:
-    """__id, __th and runs (packed: first window << 16 | number of windows) of windows that also start earlier. texts: __id, __th, text, and more."""
+    """__id, __th and __runs (packed: first window << 16 | number of windows) of windows that also start earlier. texts: __id, __th, text, and more."""
     item = _ITEM
     first = landed(_settled(texts.select(_ID, "__th", "text").mapInArrow(_first_pass, item)).select("key", "full", _ID, "__th", "at", "kind"), "suffix-digit-1")
-    open_runs = first.filter(F.col("kind") == _SPLIT).groupBy(_ID, "__th").agg(F.collect_list("at").alias("runs"))
+    open_runs = first.filter(F.col("kind") == _SPLIT).groupBy(_ID, "__th").agg(F.collect_list("at").alias("__runs"))
     # all columns stay, so that this join and the one with the result share one shuffle of the texts
     again = texts.join(open_runs, [_ID, "__th"]).mapInArrow(_second_pass, f"{item}, {_EDGES}")
     second = _settled(again)
     third = _settled(second.filter(F.col("kind") == _SPLIT).drop("kind", "full").mapInArrow(_third_pass, item))
     repeats = [x.filter(F.col("kind") == _REPEAT).select(_ID, "__th", "at") for x in (first, second, third)]
-    return repeats[0].union(repeats[1]).union(repeats[2]).groupBy(_ID, "__th").agg(F.collect_list("at").alias("runs"))
+    return repeats[0].union(repeats[1]).union(repeats[2]).groupBy(_ID, "__th").agg(F.collect_list("at").alias("__runs"))
 
 
 def _removed_spans(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +327,7 @@ def suffix_digests(docs: DataFrame) -> DataFrame:
     def digests(batches):
         for batch in batches:
             data, offsets = _text_bytes(batch.column("text"))
-            runs = batch.column("runs")
+            runs = batch.column("__runs")
             rows = []
             for i in range(batch.num_rows):
                 own = data[offsets[i] : offsets[i + 1]]
@@ -351,7 +351,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for batch in batches:
             data, offsets = _text_bytes(batch.column("text"))
-            runs = batch.column("runs")
+            runs = batch.column("__runs")
             texts = [
                 None if not valid else _kept(data[offsets[i] : offsets[i + 1]], runs[i].values)[0].decode("utf-8", "ignore")
                 for i, valid in enumerate(batch.column("text").is_valid().to_pylist())

@@ -51,3 +51,37 @@ def similar_groups(rows):
                         x, y = root(a), root(b)
                         parent[max(x, y)] = min(x, y)
     return sorted((d, len(s), root(d)) for d, s in sets.items())
+
+
+def quality(rows, limit, least_percent):
+    """rows: (doc_id, text, source). The verdict, with the rules spelled out."""
+    def lines(text):
+        plain = [re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[0-9]", "0", re.sub("[A-Z]", lambda m: m[0].lower(), x))).strip(" ") for x in (text or "").split("\n")]
+        return [x for x in plain if x]
+
+    holders = {}
+    for _, text, source in rows:
+        own = lines(text)
+        if own:
+            sketch = min(hashlib.md5(x.encode()).hexdigest() for x in own)
+            for x in own:
+                holders.setdefault((source, x), set()).add(sketch)
+    out = []
+    for doc_id, text, source in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        covered = {k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(i, i + 5)}
+        raw = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+        removed = sum(len(x.split(" ")) for x in lines(text) if len(holders[source, x]) > limit)
+        kept = not failed and 100 * (len(words) - removed) >= least_percent * len(words)
+        symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+        out.append((doc_id, len(words), sum(map(len, words)), symbols, len(raw) - len(set(raw)), len(covered), failed, removed, kept))
+    return out
+
+
+def main_text(article):
+    import html
+
+    spaced = re.sub(r"</?(?:p|h1|br)[^>]*>", " ", article)
+    return " ".join(html.unescape(re.sub(r"<[^>]+>", "", spaced)).split())
