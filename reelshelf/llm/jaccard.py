@@ -211,7 +211,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is its group's smallest, with all their columns; of rows equal in doc_id and text one stays."""
     groups = similar_groups(docs.select("doc_id", "text"))
-    gone = landed(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
+    gone = landed(groups.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
     left = docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         left = left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
