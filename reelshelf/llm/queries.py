@@ -85,6 +85,37 @@ QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_language_id, op3_s
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SQL: dict[str, str] = {
+    "op4_quality_rules": f"""
+        with docs as (
+            select row_number() over () as row, doc_id, coalesce(text, '') as text, source, {_WORDS} as ws,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls
+            from documents),
+        windows as (
+            select row, unnest(range(1, len(ws) - 3)) as i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) as gram
+            from docs where len(ws) >= 5),
+        again as (select row, i from (select *, count(*) over (partition by row, gram) as c from windows) where c > 1),
+        covered as (
+            select row, sum(step) as words from (
+                select row, least(5, coalesce(lead(i) over (partition by row order by i) - i, 5)) as step from again) group by row),
+        norms as (
+            select row, source, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'),
+                '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm
+            from (select row, source, unnest(ls) as line from docs)),
+        sketches as (select row, min(md5(norm)) as sketch from norms group by row),
+        frequent as (
+            select source, norm from norms join sketches using (row) group by source, norm having count(distinct sketch) > 50),
+        removed as (
+            select row, sum(len(string_split(n.norm, ' '))) as words
+            from norms n join frequent f on n.norm = f.norm and n.source is not distinct from f.source group by row),
+        measured as (
+            select doc_id, cast(len(ws) as bigint) as n_words, cast(length(array_to_string(ws, '')) as bigint) as word_chars,
+                cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
+                cast(len(ls) - len(list_distinct(ls)) as bigint) as n_dup_lines, cast(coalesce(c.words, 0) as bigint) as n_repeat_words,
+                cast(coalesce(r.words, 0) as bigint) as removed_words
+            from docs left join covered c using (row) left join removed r using (row))
+        select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
+            not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and 100 * (n_words - removed_words) >= 20 * n_words as kept
+        from measured""",
     "op6_source_mix": f"""
         with sizes as (
             select doc_id, source, cast(len({_WORDS}) as bigint) as size,
