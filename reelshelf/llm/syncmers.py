@@ -122,6 +122,15 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - quarter] + after[:quarter] if quarter else text
 
 
+def _place_among(column: str, bounds: list[int], low: int, high: int) -> str:
+    """SQL for how many of the sorted bounds lie below the column, as a search tree."""
+    if low == high:
+        return str(low)
+    middle = (low + high) // 2
+    more, fewer = _place_among(column, bounds, middle + 1, high), _place_among(column, bounds, low, middle)
+    return f"CASE WHEN {column} > {bounds[middle]}L THEN {more} ELSE {fewer} END"
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows in partitions and order so that each row's next one follows it; the first of a later part is repeated as a last row with peek true.
 
@@ -134,10 +143,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     shares = [i / parts for i in range(1, parts)]
     bounds = own.select(F.percentile_approx("id", shares, 10_000)).first()[0] if shares else None
     bounds = sorted(set(bounds or []))
-    part = F.lit(0)
-    if bounds:
-        part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id")))
-    own = own.withColumn("part", part)
+    own = own.withColumn("part", F.expr(_place_among("id", bounds, 0, len(bounds))))
     firsts = sorted(own.groupBy("part").agg(F.min(F.struct("id", "tie")).alias("first")).collect())
     own = own.withColumn("peek", F.lit(False))
     if not firsts:
