@@ -1,9 +1,9 @@
 """Quality rules: measures of the text itself, then how often its lines occur in other documents of the host.
 
 Lines are normalised (A-Z lower-cased, digits to 0, white space collapsed) and hashed. For every host and
-line the distinct documents are counted; exact and near copies of a document count once, because a
-document is told apart by the smallest digest among its lines. Lines above the limit are taken out, and
-a document that has too little left is rejected. Built-in functions only.
+line the distinct documents are counted; copies of a document count once, also those that differ only in
+what is normalised, because a document is told apart by a hash of all its normalised lines in order. Lines
+above the limit are taken out, and a document that has too little left is rejected. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -78,17 +78,16 @@ def normalised(line: Column) -> Column:
 
 
 def _lines(own: DataFrame) -> DataFrame:
-    """A row for each line with a word: whose it is, its number, its hash with the host, its words, and its document's sketch."""
+    """A row for each line with a word: whose it is, its number, its hash with the host, its words, and the hash of all lines of its document."""
     norms = F.filter(F.transform(F.split("text", "\n", -1), normalised), lambda x: x != "")
-    sketch = F.unhex(F.array_min(F.transform("norms", lambda x: F.md5(x))))
     whole = own.select(*_KEY, norms.alias("norms"))
-    each = whole.select(*_KEY, F.xxhash64(sketch).alias("sketch"), F.posexplode("norms").alias("at", "norm"))
-    return each.select(*_KEY, "sketch", "at", F.xxhash64("host", "norm").alias("line"), F.size(F.split("norm", " ")).alias("words"))
+    each = whole.select(*_KEY, F.xxhash64("norms").alias("lines"), F.posexplode("norms").alias("at", "norm"))
+    return each.select(*_KEY, "lines", "at", F.xxhash64("host", "norm").alias("line"), F.size(F.split("norm", " ")).alias("words"))
 
 
 def frequent_lines(docs: DataFrame, limit: int) -> DataFrame:
     """Hashes of (host, normalised line) in more than limit different documents of the host."""
-    counted = _lines(docs).select("line", "sketch").distinct().groupBy("line").count()
+    counted = _lines(docs).select("line", "lines").distinct().groupBy("line").count()
     return counted.filter(F.col("count") > limit).select("line")
 
 
@@ -125,7 +124,7 @@ def quality_rules(docs: DataFrame, limit: int = 50, least_percent: int = 20) ->
     docs: doc_id, text, source (the host). A null text has no words; a null host is a host of its own.
     Rows that repeat give equal rows, a null doc_id stays null, an empty table gives no rows, other
     columns are not read. A line counts as frequent when more than limit different documents of its
-    host have it; kept is false if the base rules fail or if fewer than least_percent of a document's
+    host have it (those with the same normalised lines are one); kept is false if the base rules fail or if fewer than least_percent of a document's
     words lie outside frequent lines.
     """
     return _judged(docs, limit, least_percent).select("doc_id", "m.*", "removed_words", "kept")

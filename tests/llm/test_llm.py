@@ -224,6 +224,23 @@ def test_quality(spark, docs, empty):
     assert kept.columns == docs.columns and kept.count() == quality.quality_rules(docs).filter("kept").count()
 
 
+def test_lines_count_by_true_documents(spark):
+    """Templated hosts: whichever line has the least digest, shared lines are held by all pages; copies count once."""
+    rows, frequent = [], {}
+    for h in range(8):
+        shared = [f"template {'abcdefgh'[h]} {'klmnop'[k]} of every page" for k in range(6)]
+        pages, copies = (6, 5) if h % 2 else (5, 6)
+        for i in range(pages):
+            text = "\n".join([*shared, f"own line {'qrstuvwxyz'[i]}"])
+            rows += [(len(rows) + c, text if c % 2 else text.upper() + "  ", f"h{h}") for c in range(copies)]
+        frequent[f"h{h}"] = pages > 5
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), 5, 20).collect()
+    by_id = {r.doc_id: r for r in got}
+    for doc_id, _, source in rows:
+        assert by_id[doc_id].removed_words == (36 if frequent[source] else 0), source
+        assert by_id[doc_id].kept == (not frequent[source] and not by_id[doc_id].base_failed)
+
+
 # --- 5
 def test_turns_come_back(spark):
     rng = random.Random(9)
