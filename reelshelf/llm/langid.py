@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,9 @@ ROWS = 200
 CHARS_OF_ROW = 600
 CHARS_OF_LANGUAGE = 60_000
 
+#: Letters, the most frequent ones, that have a column in the tables; all others have entries of a sorted list.
+NEAR = 126
+
 #: Below so many texts at once a step of numpy costs more than one of Python.
 FEW = 12
 
@@ -37,9 +41,12 @@ def words_of(text: str) -> list[str]:
 
 
 class Automaton:
-    """The suffix automaton of a text as one table: state * width + letter gives the next state's first cell, 0 none."""
+    """The suffix automaton of a text as one table: state * width + letter gives the next state's first cell, 0 none.
+
+    Moves by letters of width or more are in far, by the state's first cell and the letter.
+    """
 
-    def __init__(self, codes: bytes, width: int):
+    def __init__(self, codes: list[int], width: int):
         after: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in codes:
@@ -65,22 +72,26 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = twin
             last = new
-        self.table = array("i", bytes(4 * width * len(after)))
+        self.table, self.width = array("i", bytes(4 * width * len(after))), width
+        self.far: dict[tuple[int, int], int] = {}
         for state, moves in enumerate(after):
             for c, to in moves.items():
-                self.table[state * width + c] = to * width
+                if c < width:
+                    self.table[state * width + c] = to * width
+                else:
+                    self.far[state * width, c] = to * width
         self.cost = math.log2(len(codes) + 2)
 
-    def phrases(self, codes: bytes, state: int = 0) -> int:
+    def phrases(self, codes: list[int], state: int = 0) -> int:
         """How many longest matches, one behind the other, the codes fall into, going on from a state."""
-        table, count = self.table, 0
+        table, far, width, count = self.table, self.far, self.width, 0
         for c in codes:
-            after = table[state + c]
+            after = table[state + c] if c < width else far.get((state, c), 0)
             if after:
                 state = after
             else:
                 count += state > 0
-                state = table[c]
+                state = table[c] if c < width else far.get((0, c), 0)
                 count += state == 0  # a letter that the language doesn't have
         return count + (state > 0)
 
@@ -90,20 +101,40 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]], memory: int = 200_000):
         joined = {lang: f" {' '.join(w for t in found for w in words_of(t))} "[:CHARS_OF_LANGUAGE] for lang, found in sorted(texts.items())}
-        letters = sorted({c for t in joined.values() for c in t})[:254]
+        often = Counter(c for t in joined.values() for c in t)
+        letters = sorted(often, key=lambda c: (-often[c], c))
         self.code = {c: i + 1 for i, c in enumerate(letters)}  # 0: a letter that no language has
-        self.automata = {lang: Automaton(self._coded(t), len(letters) + 1) for lang, t in joined.items() if t.strip()}
+        self.kind, self.width = np.min_scalar_type(len(letters)), min(len(letters), NEAR) + 1
+        self.automata = {lang: Automaton([self.code[c] for c in t], self.width) for lang, t in joined.items() if t.strip()}
         tables = [np.frombuffer(a.table, np.int32) for a in self.automata.values()]
         #: All tables behind one another; a language's root is where its own begins.
         self.roots = np.cumsum([0, *map(len, tables)])[:-1].astype(np.int32)
         self.table = np.concatenate([np.where(t > 0, t + r, np.int32(0)) for t, r in zip(tables, self.roots)] or [np.zeros(0, np.int32)])
+        far = [(self._far_key(state + int(r), c), to + int(r)) for a, r in zip(self.automata.values(), self.roots) for (state, c), to in a.far.items()]
+        far = np.array(sorted(far), np.int64).reshape(-1, 2)
+        self.far_keys, self.far_to = far[:, 0].copy(), far[:, 1].astype(np.int32)
         self.words: dict[str, bytes] = {}
         self.memory = memory
 
+    def _far_key(self, state, c):
+        return state * (len(self.code) + 1) + c
+
+    def _after(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The next states by language and text, 0 none; c has a letter of each text."""
+        far = np.flatnonzero(c >= self.width)
+        if not len(far):
+            return self.table[state + c]
+        after = self.table[state + np.where(c < self.width, c, 0)]
+        if len(self.far_keys):
+            keys = self._far_key((state[:, far] if state.shape[1] > 1 else state).astype(np.int64), c[far].astype(np.int64))
+            at = np.minimum(np.searchsorted(self.far_keys, keys), len(self.far_keys) - 1)
+            after[:, far] = np.where(self.far_keys[at] == keys, self.far_to[at], 0)
+        return after
+
     def _coded(self, text: str) -> bytes:
-        return bytes(self.code.get(c, 0) for c in text)
+        return np.array([self.code.get(c, 0) for c in text], self.kind).tobytes()
 
-    def _codes_of(self, text: str | None) -> bytes:
+    def _codes_of(self, text: str | None) -> np.ndarray:
         known, parts = self.words, []
         for word in words_of(text or ""):
             coded = known.get(word)
@@ -114,13 +145,13 @@ class Model:
                         known.clear()
                     known[word] = coded
             parts.append(coded)
-        return b"".join(parts)
+        return np.frombuffer(b"".join(parts), self.kind)
 
-    def _phrases(self, coded: list[bytes]) -> np.ndarray:
+    def _phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """Phrases by text and language. All texts of a batch take a step at a time; the few longest ones end on their own."""
         by_length = sorted(range(len(coded)), key=lambda i: -len(coded[i]))
         lengths = np.array([len(coded[i]) for i in by_length])
-        flat = np.frombuffer(b"".join(coded[i] for i in by_length), np.uint8)
+        flat = np.concatenate([coded[i] for i in by_length] or [np.zeros(0, self.kind)])
         begins = np.cumsum(lengths) - lengths
         state = np.repeat(self.roots[:, None], len(coded), 1)
         count = np.zeros_like(state)
@@ -131,10 +162,10 @@ class Model:
             if active < FEW:
                 break
             c = flat[begins[:active] + at]
-            after = self.table[state[:, :active] + c]
+            after = self._after(state[:, :active], c)
             missed = after == 0
             if missed.any():
-                again = self.table[roots + c]
+                again = self._after(roots, c)
                 count[:, :active] += missed & (state[:, :active] != roots)
                 count[:, :active] += missed & (again == 0)
                 after = np.where(missed, np.where(again == 0, roots, again), after)
@@ -144,7 +175,7 @@ class Model:
         out[:, by_length] = count + (state != roots)
         for k in range(active):
             i = by_length[k]
-            rest = coded[i][at:]
+            rest = coded[i][at:].tolist()
             for n, automaton in enumerate(self.automata.values()):
                 out[n, i] = count[n, k] + automaton.phrases(rest, int(state[n, k] - self.roots[n]))
         return out.T
@@ -158,7 +189,7 @@ class Model:
         costs = self._phrases(coded) * np.array([a.cost for a in self.automata.values()])
         out = []
         for codes, cost in zip(coded, costs):
-            if not codes:
+            if not len(codes):
                 out.append((UNKNOWN, 0.0))
                 continue
             best = int(cost.argmin())

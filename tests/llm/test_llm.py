@@ -166,6 +166,31 @@ def test_phrases_are_longest_matches():
             assert x == count
 
 
+def test_languages_with_many_letters():
+    """More letters than a table has columns: Han and Hangul are told apart, and an unlearned script matches none."""
+    rng = random.Random(6)
+    han, hangul, latin = ([chr(a + 7 * i) for i in range(n)] for a, n in ((0x4E00, 900), (0xAC00, 900), (0xC0, 20)))
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(n))
+    kinds = {"ja": han[:500], "ko": hangul, "xx": latin, "zh": han[400:]}
+    train = {lang: [text(letters, 2000)] for lang, letters in kinds.items()}
+    model = langid.Model(train)
+    texts = [(lang, text(letters, 40)) for lang, letters in kinds.items() for _ in range(8)]
+    assert [p for p, _ in model.predict([t for _, t in texts])] == [lang for lang, _ in texts]
+    assert [model.predict([t])[0][0] for _, t in texts] == [lang for lang, _ in texts]  # the way of few texts
+    known = {lang: f" {' '.join(langid.words_of(t[0]))} " for lang, t in train.items()}
+    some = [*(t for _, t in texts), text([chr(0x1200 + i) for i in range(60)], 10)]
+    for t, counts in zip(some, model._phrases([model._codes_of(t) for t in some])):
+        plain = "".join(f" {w}" for w in langid.words_of(t))
+        for lang, found in zip(model.automata, counts):
+            at = count = 0
+            while at < len(plain):
+                size = 1
+                while at + size < len(plain) and plain[at : at + size + 1] in known[lang]:
+                    size += 1
+                at, count = at + size, count + 1
+            assert found == count
+
+
 # --- 3
 def test_suffixes(docs, empty):
     expected = brute.suffix_digests({(r[0], r[1]) for r in odd_rows()})
