@@ -25,10 +25,18 @@ _LABEL = re.compile(r"(?:^|\s)(keep|drop)(?=\s|$)")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Elements without text of the page, void ones, and those that don't break a line.
-_UNSEEN = set("script style noscript template svg math iframe object head title select textarea canvas audio video".split())
+_UNSEEN = set("script style noscript template svg iframe object title select textarea canvas audio video annotation annotation-xml".split())
+#: Those of them whose inside isn't markup, those that no block can be in, and elements that leave the head open.
+_RAW = set("script style title textarea iframe".split())
+_NO_BLOCKS = set("title textarea select svg".split())
+_IN_HEAD = set("head title base basefont bgsound link meta style script noscript noframes template".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
+_MATH = set(
+    """math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub
+    msubsup msup mtable mtd mtext mtr munder munderover semantics""".split()
+)
+_INLINE = _MATH | set(
+    "annotation annotation-xml a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 ) | {"img", "input"}
 #: A paragraph ends where one of these begins.
 _ENDS_P = set(
@@ -61,6 +69,16 @@ class Page:
         stack: list[tuple[str, int, bool]] = [("root", 0, False)]  # tag, node, whether its begin and end break the text
         buffer: list[str] = []
         links, at, node = 0, 0, 0
+        hidden, ends_at_block, in_head = 0, False, False  # depth of the unseen element that is open, 0 none
+        last_end: dict[str, int] = {}
+
+        def closes(tag: str) -> bool:
+            """Whether an end tag of the name is still to come, and of elements that no block can be in, before they begin again."""
+            if tag not in last_end:
+                last_end[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\s*>", source, re.I)), default=-1)
+            if last_end[tag] < at or tag not in _NO_BLOCKS:
+                return last_end[tag] >= at
+            return bool(re.compile(rf"<(/?){tag}[\s/>]", re.I).search(source, at)[1])
 
         def flush() -> None:
             if buffer:
@@ -70,6 +88,8 @@ class Page:
                     self.segments.append((node, text))
 
         def add(text: str) -> None:
+            if hidden:
+                return
             buffer.append(text)
             size = len(text.strip())
             self.chars[node] += size
@@ -77,14 +97,17 @@ class Page:
                 self.linked[node] += size
 
         def leave(depth: int) -> None:
-            nonlocal node, links
+            nonlocal node, links, hidden
             while len(stack) > depth:
                 tag, own, breaks = stack[-1]
                 if breaks or own != stack[-2][1]:
                     flush()
                 stack.pop()
                 node = stack[-1][1]
-                links -= tag == "a"
+                if hidden < len(stack):
+                    links -= tag == "a" and not hidden
+                else:
+                    hidden = 0
 
         n = len(source)
         while at < n:
@@ -100,17 +123,38 @@ class Page:
                 continue
             tag = tag.lower()
             if closing:
+                in_head = in_head and tag != "head"
+                if tag == "head" and hidden:
+                    leave(hidden)
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
                         leave(depth)
                         break
                 continue
+            if hidden and (tag == "body" or ends_at_block and tag in _ENDS_P and all(x[0] != "foreignobject" for x in stack[hidden:])):
+                leave(hidden)
+            if hidden:
+                if tag not in _VOID and not attributes.endswith("/"):
+                    stack.append((tag, node, False))
+                continue
+            if tag == "head":
+                flush()
+                in_head = True
+                continue
+            ends_at_block = in_head or tag in _NO_BLOCKS
+            in_head = in_head and tag in _IN_HEAD
             if tag in _UNSEEN:
-                if not attributes.endswith("/"):
-                    end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                    at = end.end() if end else n
                 if tag not in _INLINE:
                     flush()
+                if attributes.endswith("/"):
+                    continue
+                closed = closes(tag)
+                if closed and tag in _RAW:
+                    at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at).end()
+                    continue
+                ends_at_block = ends_at_block and not closed
+                hidden = len(stack)
+                stack.append((tag, node, False))
                 continue
             if tag in _VOID:
                 if tag in ("br", "hr"):
@@ -228,7 +272,7 @@ def extract_texts(pages: DataFrame) -> DataFrame:
 
     A null or empty html, and a page without main text, give the empty text. White space within a block is
     one space, blocks follow each other in page order with a space between, character references are decoded. Markup
-    that isn't closed ends with the page. Repeated rows give equal rows, an empty table none; other columns are not read.
+    that isn't closed ends with the page, an unseen element that isn't closed with its parent, or where a block begins that can't be in it. Repeated rows give equal rows, an empty table none; other columns are not read.
     """
     python_ready(pages.sparkSession)
 

@@ -336,6 +336,23 @@ def test_pages(spark):
     assert htmltext.extract_texts(df.limit(0)).count() == 0
 
 
+def test_open_unseen_elements():
+    model = htmltext.Model()
+    body = "<article><h1>Of rivers</h1><p>Rivers run to the sea, and this is a long line about that, with many words in it.</p></article>"
+    text = brute.main_text(body)
+    for page in (
+        f"<html><head><title>T</title><body>{body}", f"<head><title>T</title><meta charset=utf-8>{body}", f"<head><title>T{body}",
+        f"<head><style>p {{ }}<body>{body}", f"<head><noscript><link rel=x></noscript><script>var a = '<p>';</script></head><body>{body}</body>",
+        f"<body><svg><path d='M0'>{body}", f"<body><div><select><option>a<option>b</div>{body}<select><option>c</select></body>",
+        f"<body><svg><path d='M0'>{body}<svg></svg></body>", f"<title>T{body}<svg><title>x</title></svg>",
+        f"<body><svg><foreignObject><div>no</div></foreignObject></svg>{body}</body>", f"<body><div><audio><p>None</p></div>{body}", f"<body><div><script>var a = 1;</div>{body}", f"<body><svg><g/><svg></svg>no</svg>{body}</body>",
+        f"<body><template><p>no</p><div>no</div></template>{body}<noscript><p>no</noscript></body>", f"<body><a href=x><svg><a>no</a></svg></a>{body}",
+    ):
+        assert model.text(page) == text, page
+    formula = "<math><mrow><msup><mi>x</mi><mn>2</mn></msup></mrow><annotation encoding=tex>x^2</annotation></math>"
+    assert model.text(f"<body>{body.replace('sea,', f'sea {formula},')}</body>") == text.replace("sea,", "sea x2,")
+
+
 def test_marginals_are_exact():
     """Against summing over all labellings of a small tree."""
     import itertools
