@@ -201,14 +201,15 @@ class Model:
 def training_texts(docs: DataFrame) -> dict[str, list[str]]:
     """A bounded sample of labelled rows that are not held out, by language."""
     labelled = docs.filter(~held_out()).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("at", F.row_number().over(order)).filter(F.col("at") <= ROWS)
-    # at most ROWS ids of each language
-    rows = labelled.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id").select("lang", "doc_id", F.substring("text", 1, CHARS_OF_ROW).alias("text"))
+    text = F.substring("text", 1, CHARS_OF_ROW).alias("text")
+    ranked = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("digest"), text)
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "digest")
+    # at most ROWS rows of each language, also where a doc_id repeats
+    rows = ranked.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= ROWS).select("lang", "doc_id", "text")
     found: dict[str, list[tuple]] = {}
     for row in rows.collect():
         found.setdefault(row["lang"], []).append((row["doc_id"], row["text"]))
-    return {lang: [t for _, t in sorted(texts)][: 2 * ROWS] for lang, texts in found.items()}
+    return {lang: [t for _, t in sorted(texts)] for lang, texts in found.items()}
 
 
 def held_out():

@@ -166,6 +166,15 @@ def test_phrases_are_longest_matches():
             assert x == count
 
 
+def test_sample_is_bounded_where_an_id_repeats(spark):
+    import zlib
+
+    free = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(free[0], f"text of number {i}", "aa") for i in range(3 * langid.ROWS)] + [(i, "another one", "bb") for i in free[:3]] + [(None, "none", "bb")]
+    found = langid.training_texts(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert (len(found["aa"]), len(set(found["aa"])), found["bb"]) == (langid.ROWS, langid.ROWS, ["another one"] * 3)
+
+
 def test_languages_with_many_letters():
     """More letters than a table has columns: Han and Hangul are told apart, and an unlearned script matches none."""
     rng = random.Random(6)
