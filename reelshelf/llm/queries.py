@@ -79,11 +79,54 @@ def op10_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_table(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_encode_decode, op2_language_id, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op7_html_extraction, op8_ngram_jaccard, op9_sharding, op10_syncmer_fingerprints)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.prefixtrie import prefix_trie
+
+    return prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.spelling import spelling_groups
+
+    return spelling_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelshelf.llm.linedup import line_digests
+
+    return line_digests(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_encode_decode, op2_language_id, op3_suffix_dedup, op4_quality_rules, op5_chat_formatting, op6_source_mix, op7_html_extraction,
+        op8_ngram_jaccard, op9_sharding, op10_syncmer_fingerprints, op11_prefix_trie, op12_spelling_variants, op13_line_dedup,
+    )
+}
 
 #: Words and white space as in the contracts.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: Half-byte steps of the crc32 polynomial.
+_CRC = []
+for _step in range(16):
+    for _ in range(4):
+        _step = _step >> 1 ^ 0xEDB88320 * (_step & 1)
+    _CRC.append(_step)
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes (code points below 2048)."""
+    half = lambda c, b: f"xor({c} >> 4, list_extract({_CRC}, 1 + (xor({c}, {b}) & 15)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: unicode(x)::bigint)"
+    utf8 = f"flatten(list_transform({codes}, lambda x: case when x < 128 then [x] else [192 + (x >> 6), 128 + (x & 63)] end))"
+    halves = f"flatten(list_transform({utf8}, lambda x: [x & 15, x >> 4]))"
+    return f"xor(4294967295, list_reduce({halves}, lambda c, b: {half('c', 'b')}, 4294967295::bigint))"
+
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
 SQL: dict[str, str] = {
     "op4_quality_rules": f"""
         with docs as (
@@ -153,4 +196,59 @@ SQL: dict[str, str] = {
         from (select l.*, shard_bytes, shard_docs, row_number() over (partition by l.row order by l.depth) as k
             from levels l join buckets b on l.depth = b.depth and l.bucket = b.bucket)
         where k = 1""",
+    "op11_prefix_trie": f"""
+        with turns as (
+            select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) as pos,
+                md5(coalesce(role, '')) || md5(coalesce(text, '')) as k, length(coalesce(text, '')) as size
+            from conversations where conv_id is not null),
+        convs as (select c, {_crc32("c::varchar")} % 6 as h from (select distinct c from turns)),
+        own as (
+            select v.c, t.pos, t.k, t.size from convs v join turns t on t.c = v.c - v.c % 100 where t.pos <= v.h
+            union all select v.c, t.pos, t.k, t.size from convs v join turns t on t.c = v.c where t.pos > v.h),
+        seqs as (select c, list(k order by pos) as ks, list(size order by pos) as sizes from own group by c
+            union all select c, [], [] from convs where c not in (select c from own)),
+        steps as (select c, unnest(range(0, len(ks) + 1)) as d, ks, sizes from seqs),
+        nodes as (
+            select array_to_string(ks[1:d], '') as p, d, min(c) as c, count(*) as n, coalesce(any_value(sizes[d]) filter (where d > 0), 0) as size,
+                sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where len(ks) = d), '')) as ends
+            from steps group by array_to_string(ks[1:d], ''), d),
+        children as (select left(p, (d - 1) * 64) as p, count(*) as n from nodes where d > 0 group by 1),
+        own_sums as (select n.p, n.d, (n.n - 1) * n.size as saved, (c.n is null)::int as leaf from nodes n left join children c using (p)),
+        sums as (
+            select p, cast(sum(saved) as bigint) as saved, cast(sum(leaf) as bigint) as leaves
+            from (select left(p, k * 64) as p, saved, leaf from (select *, unnest(range(0, d + 1)) as k from own_sums)) group by p)
+        select n.c as conv_id, cast(n.d as bigint) as depth, a.c as parent_conv_id, n.n as n_convs, coalesce(k.n, 0) as n_children,
+            s.leaves as n_leaves, s.saved as saved_tokens, n.ends as ends_sha256
+        from nodes n join sums s using (p) left join children k using (p)
+        left join nodes a on n.d > 0 and a.p = left(n.p, (n.d - 1) * 64)""",
+    "op12_spelling_variants": f"""
+        with recursive runs as (
+            select coalesce(doc_id::varchar, '') as id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), {_LOWER}) as run from documents),
+        hashed as (select id, run, {_crc32("id || ':' || run")} as h from runs where length(run) >= 7),
+        words as (
+            select word, count(*) as n
+            from (select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from hashed)
+            where length(word) >= 7 group by word having count(*) >= 2),
+        shorter as (select word, k, left(word, k) || substr(word, k + 2) as rest from (select word, unnest(range(0, length(word))) as k from words)),
+        near as (
+            select a.word, b.word as other from shorter a join shorter b on a.k = b.k and a.rest = b.rest and a.word <> b.word
+            union select s.word, w.word from shorter s join words w on s.rest = w.word
+            union select w.word, s.word from shorter s join words w on s.rest = w.word),
+        ranked as (
+            select near.word, other, w.n as other_n, count(*) over (partition by near.word) as n_near, row_number() over (partition by near.word order by w.n desc, other) as k
+            from near join words w on w.word = near.other),
+        best as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when other_n >= 10 * w.n then other end as form, case when other_n >= 10 * w.n then other_n end as form_n
+            from words w left join (select * from ranked where k = 1) r on r.word = w.word),
+        roots as (
+            select word, word as root, form as following from best
+            union all select r.word, b.word, b.form from roots r join best b on b.word = r.following)
+        select b.word, b.form, r.root, b.n, b.n_near, b.form_n from best b join roots r on r.word = b.word where r.following is null""",
+    "op13_line_dedup": f"""
+        with docs as (select row_number() over () as row, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+        lines as (select row, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from docs),
+        keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), {_LOWER}) as k from lines),
+        frequent as (select k from (select distinct row, k from keyed where k <> '') group by k having count(*) >= 10)
+        select doc_id, count(*) as n_lines, count(f.k) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where f.k is null), '')) as kept_sha256
+        from keyed left join frequent f on keyed.k = f.k group by row, doc_id""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def landed(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back: a cut of the lineage that outlives executors."""
+def landed(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """The rows written once to the shared folder (in folders by some columns) and read back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
