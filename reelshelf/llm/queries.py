@@ -141,12 +141,12 @@ SQL: dict[str, str] = {
             select row, sum(step) as words from (
                 select row, least(5, coalesce(lead(i) over (partition by row order by i) - i, 5)) as step from again) group by row),
         norms as (
-            select row, source, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'),
+            select row, source, pos, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 'abcdefghijklmnopqrstuvwxyz0000000000'),
                 '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm
-            from (select row, source, unnest(ls) as line from docs)),
-        sketches as (select row, min(md5(norm)) as sketch from norms group by row),
+            from (select row, source, unnest(ls) as line, generate_subscripts(ls, 1) as pos from docs)),
+        wholes as (select row, string_agg(norm, chr(10) order by pos) as whole from norms group by row),
         frequent as (
-            select source, norm from norms join sketches using (row) group by source, norm having count(distinct sketch) > 50),
+            select source, norm from norms join wholes using (row) group by source, norm having count(distinct whole) > 50),
         removed as (
             select row, sum(len(string_split(n.norm, ' '))) as words
             from norms n join frequent f on n.norm = f.norm and n.source is not distinct from f.source group by row),

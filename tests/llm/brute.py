@@ -62,10 +62,8 @@ def quality(rows, limit, least_percent):
     holders = {}
     for _, text, source in rows:
         own = lines(text)
-        if own:
-            sketch = min(hashlib.md5(x.encode()).hexdigest() for x in own)
-            for x in own:
-                holders.setdefault((source, x), set()).add(sketch)
+        for x in own:
+            holders.setdefault((source, x), set()).add(tuple(own))
     out = []
     for doc_id, text, source in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
