@@ -8,6 +8,9 @@ sorted, most significant digit first, and a window that is alone in its group le
 2. for runs whose anchor occurs in different surroundings: the 93 bytes common to 8 neighbouring windows;
 3. for such blocks that still differ: the remaining bytes on both sides, window by window.
 
+Digits are hashes of their bytes, which aren't compared again: equal are runs and blocks whose two hashes of 64 bits
+agree, and windows of digit 3 whose 93 common bytes agree in one such hash and the others in two.
+
 After each digit, equal groups are settled (all but the first place are repeats), lone groups are dropped,
 and only groups with the digit in common but not the rest go on. Before every shuffle a task puts equal
 entries of its chunk together, so a group that holds a third of all rows arrives as one or two rows a chunk.
@@ -254,8 +257,10 @@ def _third_pass(batches):
         own_left = left[of] >> (8 * place)  # the bytes from the window's begin to the core
         own_right = right[of] & ((np.int64(1) << (8 * place)) - 1)
         sides = _joined(own_left.astype(np.uint64) * _C, own_right.astype(np.uint64) * _A)
-        window = _joined(key[of].view(np.uint64), _joined(sides, place.astype(np.uint64))).view(np.int64)
-        yield _items(window, np.zeros(len(of), np.int64), ids[of], th[of], ((at[of] >> 16) + step) << 16 | 1)
+        core = key[of].view(np.uint64)
+        window = _joined(core, _joined(sides, place.astype(np.uint64))).view(np.int64)
+        again = _joined(_joined(own_right.astype(np.uint64) * _B, own_left.astype(np.uint64) * _C), _joined(place.astype(np.uint64), core)).view(np.int64)
+        yield _items(window, again, ids[of], th[of], ((at[of] >> 16) + step) << 16 | 1)
 
 
 def _settled(items: DataFrame) -> DataFrame:
