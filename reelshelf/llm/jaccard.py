@@ -29,6 +29,7 @@ from reelshelf.llm.shingles import mixed, shingle_sets, slices
 
 #: Similarity of 80 %: 5 * overlap >= 4 * union.
 BLOCK_TEXTS = 256
+BLOCK_SHINGLES = 1 << 20  # of a block's texts together; a longer text has a block of its own
 SAMPLE = 16  # one text in so many shows which shingles are frequent
 FREQUENT_IN_SAMPLE = 4
 FREQUENT_MOST = 100_000  # entries of the list that goes to all tasks; the order changes speed only, not results
@@ -81,7 +82,8 @@ def _prefixes(frequent: np.ndarray):
             keep = (rank < count[text] // 4 + 1) & chosen[text]
             token, text = shingles[order][keep], text[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(ids[text]), pa.array(count[text].astype(np.int32))], names=["token", "id", "n"]
+                [pa.array(token.view(np.int64)), pa.array(ids[text]), pa.array(same[text].view(np.int64)), pa.array(count[text].astype(np.int32))],
+                names=["token", "id", "sig", "n"],
             )
 
     return rows
@@ -130,9 +132,12 @@ def _like_sizes(a: Column, b: Column) -> Column:
 
 
 def _narrowed(index: DataFrame) -> DataFrame:
-    """Entries that more than one text has, of texts with enough of them; least is an entry's smallest id."""
+    """Entries that more than one text has, of texts with enough of them; least is an entry's smallest id.
+
+    What is shared is landed first: then both sides of the join are plain shuffles, of which Spark splits a hot token's.
+    """
     shared = index.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
-    found = landed(index.join(shared.select("token", "least"), "token"), "shared-index")
+    found = landed(index.join(landed(shared.select("token", "least"), "shared-tokens"), "token"), "shared-index")
     likely = found.groupBy("id", "n").count().filter(F.col("count") >= _least_shared(F.col("n"))).select("id").distinct()
     return found.join(likely, "id", "left_semi")
 
@@ -150,16 +155,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), "text")
     signed = landed(texts.mapInArrow(_signatures, "id long, n long, sig long, sig2 long"), "set-signatures")
 
-    # equal sets: everyone hangs on the smallest id
+    # equal sets: everyone hangs on the smallest id; a side that is landed first lets Spark split a hot set's rows
     first = signed.filter("n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("b"), F.count("*").alias("k")).filter("k > 1")
-    equal = signed.filter("n > 0").join(first, ["sig", "sig2"]).select(F.col("id").alias("a"), "b").filter("a != b").distinct()
-    equal = landed(equal, "equal-sets")
+    equal = signed.filter("n > 0").join(landed(first, "repeated-sets"), ["sig", "sig2"]).filter("id != b")
+    equal = landed(equal.select(F.col("id").alias("a"), "b", "sig").distinct(), "equal-sets")
 
-    index = texts.mapInArrow(_prefixes(_frequent(texts)), "token long, id long, n int")
+    index = texts.mapInArrow(_prefixes(_frequent(texts)), "token long, id long, sig long, n int")
     entries = landed(_narrowed(index), "index").drop("least")
-    # once more, without equal sets and what has gone with the first pass
-    entries = landed(_narrowed(entries.join(equal.select(F.col("a").alias("id")), "id", "left_anti")), "index")
-    needed = entries.select("id").distinct()
+    # once more, without equal sets and what has gone with the first pass; an id's other texts stay
+    copies = equal.select(F.col("a").alias("id"), "sig")
+    entries = landed(_narrowed(entries.join(copies, ["id", "sig"], "left_anti").drop("sig")), "index")
+    needed_sizes = entries.groupBy("id").agg(F.max("n").alias("n"))
+    needed = needed_sizes.select("id")
     sets = landed(texts.join(needed, "id").mapInArrow(_sets, "id long, tokens array<long>"), "token-sets")
 
     # round 1: each text and the one of the least ids with which it shares most entries
@@ -170,13 +177,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     groups = landed(components(near), "near-groups") if near.limit(1).count() else near.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     # round 2: the matrix of index entries and blocks of groups
-    sizes = groups.groupBy("component").count().withColumnRenamed("count", "texts")
-    member = groups.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("group"), "texts")
+    weight = needed_sizes.withColumnRenamed("id", "node")
+    sizes = groups.join(weight, "node").groupBy("component").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    sizes = sizes.select("component", "texts", blocks.alias("blocks"))
+    member = groups.join(sizes, "component").select(F.col("node").alias("id"), F.col("component").alias("group"), "texts", "blocks")
     placed = entries.join(member, "id", "left").select(
-        "token", "id", "n", F.coalesce("group", "id").alias("group"), F.coalesce("texts", F.lit(1)).alias("texts"),
+        "token", "id", "n", F.coalesce("group", "id").alias("group"), F.coalesce("texts", F.lit(1)).alias("texts"), F.coalesce("blocks", F.lit(1)).alias("blocks"),
     )
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("texts") / BLOCK_TEXTS)).cast("int")
-    placed = landed(placed.withColumn("block", block), "matrix")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = landed(placed.withColumn("block", block).drop("blocks"), "matrix")
     cells = placed.groupBy("token", F.col("group").alias("other"), F.col("block").alias("other_block")).agg(
         F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.first("texts").alias("other_texts")
     )
@@ -201,7 +211,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     pairs = ask.join(within, ["token", "other", "other_block"]).filter(_like_sizes(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     far = _linked(pairs, sets)
 
-    links = landed(equal.union(near).union(far), "all-links")
+    links = landed(equal.select("a", "b").union(near).union(far), "all-links")
     found = components(links)
     joined = signed.join(found, signed.id == found.node, "left")
     show = lambda c: F.when(c != _NULL_ID, c).cast(kind)
@@ -209,10 +219,18 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is its group's smallest, with all their columns; of rows equal in doc_id and text one stays."""
+    """Of each group one row of docs, with all its columns: that with the group's smallest doc_id; where this has several rows, the text of the least digest.
+
+    A doc_id is one document, as in similar_groups. Texts without shingles, null or empty, are groups of their
+    own (but for their doc_id), a null doc_id is one, too. An empty table gives no rows.
+    """
     groups = similar_groups(docs.select("doc_id", "text"))
     gone = landed(groups.filter("NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("__gone")).distinct(), "near-copies")
-    left = docs.join(gone, docs.doc_id == gone["__gone"], "left_anti")
+    left = docs.join(gone, docs.doc_id.eqNullSafe(gone["__gone"]), "left_anti")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        left = left.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+        digest = F.struct(F.col("text").isNull(), F.xxhash64("text"))
+        first = landed(left.groupBy(F.col("doc_id").alias("__of")).agg(F.min(digest).alias("__least")), "first-texts")
+        left = left.withColumn("__text", digest)
+        left = left.join(first, left.doc_id.eqNullSafe(first["__of"]) & (left["__text"] == first["__least"]), "left_semi")
+        left = left.dropDuplicates(["doc_id"]).drop("__text")
     return left
