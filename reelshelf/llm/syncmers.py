@@ -1,9 +1,13 @@
 """Document fingerprints from closed syncmers.
 
-A string of 16 bytes is an anchor if, of the 8-byte strings inside it, the first least one (by hash) is the first
+A string of k bytes is an anchor if, of the s-byte strings inside it, the first least one (by hash) is the first
 or the last. That depends on nothing outside the string, so equal passages have equal anchors wherever they
 stand. A fingerprint holds the anchors with the least hashes and where they lie. Two fingerprints are alike by
 the share of common anchors among the least of both, counting those that lie at one distance from each other.
+
+Anchors of 16 bytes are too rare in short texts, so texts of fewer than BOTH bytes have anchors of 6 bytes as
+well. Two texts that both have them are compared by these, others by the long ones, which every text
+of BOTH bytes has many of: no length is a border between texts that can't be compared.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 from reelshelf.llm.runtime import python_ready
 from reelshelf.llm.shingles import followed, mixed, slices, text_bytes
 
-#: Lengths of anchors and of the strings inside them, and those for texts of fewer than SHORT bytes.
-SCALE, SHORT_SCALE, SHORT = (16, 8), (6, 2), 128
+#: Lengths (k, s) of anchors and of the strings inside them, and those that texts of fewer than BOTH bytes have, too.
+SCALE, SHORT_SCALE, BOTH = (16, 8), (6, 2), 512
 ANCHORS = 48
 #: Bytes by which places of matching anchors may differ from the common distance.
 TOLERANCE = 64
@@ -57,15 +61,11 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, scale: tuple[int, int]) -> t
     return text, place - offsets[text], followed(x[place] + np.uint64(k), x[place + k - s])
 
 
-def fingerprints(column: pa.Array) -> list[bytes]:
-    """Of each text its anchors as (hash, place) in order of hash; a text without an anchor has its whole as one, an empty one none."""
-    data, offsets = text_bytes(column)
-    small = np.diff(offsets) < SHORT
-    found = []
-    for scale, wanted in ((SCALE, ~small), (SHORT_SCALE, small)):
-        text, place, full = _anchors(data, offsets, scale)
-        found.append([x[wanted[text]] for x in (text, place, full)])
-    text, place, full = (np.concatenate(x) for x in zip(*found))
+def _least(data: np.ndarray, offsets: np.ndarray, scale: tuple[int, int], wanted: np.ndarray) -> list[bytes]:
+    """Of each text that is wanted its ANCHORS least anchors as (hash, place) in order of hash."""
+    text, place, full = _anchors(data, offsets, scale)
+    chosen = wanted[text]
+    text, place, full = text[chosen], place[chosen], full[chosen]
     order = np.lexsort((place, full, text))
     text, place, full = text[order], place[order], full[order]
     new = np.ones(len(text), bool)
@@ -80,24 +80,42 @@ def fingerprints(column: pa.Array) -> list[bytes]:
     begins = np.searchsorted(text, np.arange(len(offsets)))
     out = np.zeros(len(text), _KIND)
     out["hash"], out["at"] = short, place
+    return [out[a : min(b, a + ANCHORS)].tobytes() for a, b in zip(begins[:-1], begins[1:])]
+
+
+def fingerprints(column: pa.Array) -> list[bytes]:
+    """Of each text the number of its long anchors in a byte, these, and after them its short ones if it has fewer than BOTH bytes.
+
+    A text without any anchor has its whole as a short one, an empty text has no fingerprint (b"").
+    """
+    data, offsets = text_bytes(column)
+    size = np.diff(offsets)
+    long_, short = _least(data, offsets, SCALE, size > 0), _least(data, offsets, SHORT_SCALE, size < BOTH)
     found = []
-    for i in range(len(offsets) - 1):
-        a, b = begins[i], begins[i + 1]
-        if a < b:
-            found.append(out[a : min(b, a + ANCHORS)].tobytes())
-        elif offsets[i] < offsets[i + 1]:
-            found.append(hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=4).digest() + bytes(4))
-        else:
-            found.append(b"")
+    for i, n in enumerate(size):
+        own = short[i]
+        if n and n < BOTH and not own:
+            own = hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=4).digest() + bytes(4)
+        found.append(bytes([len(long_[i]) // _KIND.itemsize]) + long_[i] + own if n else b"")
     return found
 
 
+def _scales(fingerprint: bytes) -> tuple[bytes, bytes]:
+    """The long and the short anchors."""
+    end = 1 + fingerprint[0] * _KIND.itemsize
+    return fingerprint[1:end], fingerprint[end:]
+
+
 def likeness(a: bytes, b: bytes) -> float:
     """From 0 to 1; 1 for equal ones, also for two empty ones."""
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
+    (a_long, a_short), (b_long, b_short) = _scales(a), _scales(b)
+    a, b = (a_short, b_short) if a_short and b_short else (a_long, b_long)
+    if a == b:
+        return float(bool(a))
     x, y = np.frombuffer(a, _KIND), np.frombuffer(b, _KIND)
     both, i, j = np.intersect1d(x["hash"], y["hash"], assume_unique=True, return_indices=True)
     if not len(both):
@@ -134,7 +152,8 @@ def _place_among(column: str, bounds: list[int], low: int, high: int) -> str:
 def _in_order(docs: DataFrame) -> DataFrame:
     """Rows in partitions and order so that each row's next one follows it; the first of a later part is repeated as a last row with peek true.
 
-    Parts are ranges of the id between quantiles; only their bounds and first ids are on the driver.
+    Parts are ranges of the id between quantiles, one to a task; only their bounds and first ids are on the driver. Rows
+    of one id, however many, lie in one part: their order is that of the result.
     """
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -152,7 +171,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     pairs = [(firsts[i - 1][0], *first) for i, (_, first) in enumerate(firsts)]
     seen = spark.createDataFrame(pairs, "part int, id long, tie long")
     peeks = own.drop("part", "peek").join(F.broadcast(seen), ["id", "tie"]).dropDuplicates(["part"]).select("doc_id", "id", "text", "tie", "part", F.lit(True).alias("peek"))
-    return own.unionByName(peeks).repartition("part").sortWithinPartitions("part", "peek", "id", "tie")
+    return own.unionByName(peeks).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "peek", "id", "tie")
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
