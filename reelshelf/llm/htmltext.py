@@ -1,9 +1,10 @@
 """Main text of web pages by a tree-structured graphical model.
 
-Each block element of a page is a node that is content or not. Its tag, the words in its class, id and role, and
-its own text give a node potential; how often children of content are content gives a potential for each edge.
-Messages go up from the leaves to the root and down again, which on a tree makes the marginals exact; text in nodes
-whose marginal for content is a half or more is the main text. All potentials are counts over labelled pages.
+Each block element of a page, and each other element with a class, id or role, is a node that is content or not. Its
+tag, the words of its names and its own text give a node potential; how often children of content are content gives a
+potential for each edge. Messages go up from the leaves to the root and down again, which on a tree
+makes the marginals exact; text in nodes whose marginal for content is a half or more is the main text. All
+potentials come from labelled pages; a word that none of them has speaks neither for nor against.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from reelshelf.llm.runtime import python_ready
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _LABEL = re.compile(r"(?:^|\s)(keep|drop)(?=\s|$)")
-_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_WORD = re.compile(r"[^\W\d_a-z]?[^\W\d_A-Z]+|[^\W\d_a-z]+")
 
 #: Elements without text of the page, void ones, and those that don't break a line.
 _UNSEEN = set("script style noscript template svg iframe object title select textarea canvas audio video annotation annotation-xml".split())
@@ -44,30 +45,42 @@ _ENDS_P = set(
 )
 #: An element ends where one of its like begins, if none of the second set is between.
 _ENDS_LIKE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": set()}
-#: Words of names that speak for other things than the text, and for it.
-_OTHER_WORDS = set(
-    """ad ads advert adverts advertisement advertising aside banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo
-    cookie cookies copyright disclaimer dialog discussion disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation newsletter
-    notice notification overlay pager pagination popup promo promoted promotion recommended related reply replies reviews search share sharing
-    sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split()
-)
-_TEXT_WORDS = set("article body content copy entry main page post prose story text".split())
+_LIKES = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+#: Elements whose meaning depends on what they lie in: an article's header is text, a site's isn't.
+_BY_PARENT = {"header", "footer", "aside", "nav", "section"}
+
+
+def _named(attributes: str) -> list[str]:
+    """Features of class, id, role and label: of each name the word that it ends with and its first letters, and the words before it."""
+    found: dict[str, None] = {}
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in _WORD.findall(name)]
+            for word in words[:-1]:
+                found[f"before:{word}"] = None
+            if words:
+                found[f"name:{words[-1]}"] = None
+                if len(words[-1]) > 5:
+                    found[f"like:{words[-1][:5]}"] = None
+    return list(found)
 
 
 class Page:
-    """The block tree of a page: parents (a parent comes before its children), features and labels of nodes, and text segments."""
+    """The tree of a page: parents (a parent comes before its children), tags, features and labels of nodes, and blocks of text by node."""
 
     def __init__(self, source: str):
-        self.parent, self.features, self.label = [-1], [["tag:root"]], [0]
-        self.chars, self.linked, self.inside = [0], [0], [False]
-        self.segments: list[tuple[int, str]] = []
+        self.parent, self.tag, self.features, self.label = [-1], ["root"], [[]], [0]
+        self.chars, self.linked = [0], [0]
+        #: Pieces of one block follow each other without a space.
+        self.blocks: list[list[tuple[int, str]]] = []
         self._read(source)
         for node, named in enumerate(self.features):
             named += self._of_text(node)
 
     def _read(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("root", 0, False)]  # tag, node, whether its begin and end break the text
-        buffer: list[str] = []
+        opened: Counter = Counter()  # of the stack's tags
+        buffer: list[tuple[int, str]] = []
         links, at, node = 0, 0, 0
         hidden, ends_at_block, in_head = 0, False, False  # depth of the unseen element that is open, 0 none
         last_end: dict[str, int] = {}
@@ -82,27 +95,30 @@ class Page:
 
         def flush() -> None:
             if buffer:
-                text = " ".join(html.unescape("".join(buffer)).split())
+                self.blocks.append(buffer.copy())
                 buffer.clear()
-                if text:
-                    self.segments.append((node, text))
 
         def add(text: str) -> None:
             if hidden:
                 return
-            buffer.append(text)
+            buffer.append((node, text))
             size = len(text.strip())
             self.chars[node] += size
             if links:
                 self.linked[node] += size
 
+        def enter(tag: str, breaks: bool) -> None:
+            stack.append((tag, node, breaks))
+            opened[tag] += 1
+
         def leave(depth: int) -> None:
             nonlocal node, links, hidden
             while len(stack) > depth:
-                tag, own, breaks = stack[-1]
-                if breaks or own != stack[-2][1]:
+                tag, _, breaks = stack[-1]
+                if breaks:
                     flush()
                 stack.pop()
+                opened[tag] -= 1
                 node = stack[-1][1]
                 if hidden < len(stack):
                     links -= tag == "a" and not hidden
@@ -126,16 +142,18 @@ class Page:
                 in_head = in_head and tag != "head"
                 if tag == "head" and hidden:
                     leave(hidden)
+                if not opened[tag]:
+                    continue
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
                         leave(depth)
                         break
                 continue
-            if hidden and (tag == "body" or ends_at_block and tag in _ENDS_P and all(x[0] != "foreignobject" for x in stack[hidden:])):
+            if hidden and (tag == "body" or ends_at_block and tag in _ENDS_P and not opened["foreignobject"]):
                 leave(hidden)
             if hidden:
                 if tag not in _VOID and not attributes.endswith("/"):
-                    stack.append((tag, node, False))
+                    enter(tag, False)
                 continue
             if tag == "head":
                 flush()
@@ -154,42 +172,41 @@ class Page:
                     continue
                 ends_at_block = ends_at_block and not closed
                 hidden = len(stack)
-                stack.append((tag, node, False))
+                enter(tag, False)
                 continue
             if tag in _VOID:
                 if tag in ("br", "hr"):
                     flush()
                 continue
-            if tag in _ENDS_P:
+            if tag in _ENDS_P and opened["p"]:
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == "p":
                         leave(depth)
                         break
                     if stack[depth][0] not in _INLINE:
                         break
-            elif tag in _ENDS_LIKE:
+            elif tag in _ENDS_LIKE and any(opened[x] for x in _LIKES.get(tag, (tag,))):
                 for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag or tag in ("dt", "dd") and stack[depth][0] in ("dt", "dd") or tag in ("td", "th") and stack[depth][0] in ("td", "th"):
+                    if stack[depth][0] in _LIKES.get(tag, (tag,)):
                         leave(depth)
                         break
                     if stack[depth][0] in _ENDS_LIKE[tag]:
                         break
-            words = {w.lower() for m in _NAMES.finditer(attributes) for w in _WORD.findall(m[1] or m[2] or m[3] or "")} if attributes else set()
-            other = bool(words & _OTHER_WORDS)
+            named = _named(attributes) if attributes else []
+            label = _LABEL.search(attributes) if attributes else None
             breaks = tag not in _INLINE
             links += tag == "a"
-            if breaks or other:
+            if breaks:
                 flush()
+            if breaks or named or label:
                 self.parent.append(node)
-                place = "@text" if self.inside[node] and tag in ("header", "footer", "aside") else ""
-                self.inside.append(self.inside[node] or tag == "article" or not other and bool(words & _TEXT_WORDS))
-                self.features.append([f"tag:{tag}{place}", f"names:{'other' if other else 'text' if words & _TEXT_WORDS else 'none'}"])
-                label = _LABEL.search(attributes) if attributes else None
+                self.tag.append(tag)
+                self.features.append([f"tag:{tag}", *named])
                 self.label.append(self.label[node] if not label else int(label[1] == "keep"))
                 self.chars.append(0)
                 self.linked.append(0)
                 node = len(self.parent) - 1
-            stack.append((tag, node, breaks))
+            enter(tag, breaks)
         leave(1)
         flush()
 
@@ -201,61 +218,64 @@ class Page:
         size = "short" if chars < 30 else "line" if chars < 90 else "long"
         return [f"text:{size}", f"links:{'none' if share == 0 else 'some' if share < 0.5 else 'most'}"]
 
-    def wrapper(self, node: int) -> bool:
-        """Whether a node only groups parts that can be of different kinds, as the page itself does."""
-        named = self.features[node]
-        return named[0] in _WRAPPERS or named[0] in _GROUPS and not self.chars[node] and named[1] == "names:none"
+    def wrapper(self, node: int, known: set[str]) -> bool:
+        """Whether a node only groups parts that can be of different kinds, as the page itself does: it has no text and no name that is known."""
+        tag = self.tag[node]
+        return tag in _WRAPPERS or tag in _GROUPS and not self.chars[node] and known.isdisjoint(self.features[node][1:])
 
 
-_WRAPPERS = {"tag:root", "tag:html", "tag:body"}
-_GROUPS = {"tag:div", "tag:section", "tag:table", "tag:tbody", "tag:tr", "tag:td", "tag:center"}
+_WRAPPERS = {"root", "html", "body"}
+_GROUPS = {"div", "section", "table", "tbody", "tr", "td", "center"}
 
 
 class Model:
     """Potentials from labelled pages: edges by counts, nodes by raising the likelihood of the labels step by step."""
 
-    def __init__(self, pages: list[str] = PAGES, rounds: int = 80, rate: float = 0.3):
+    def __init__(self, pages: list[str] = PAGES, rounds: int = 200, rate: float = 0.3, fade: float = 0.0005):
         read = [Page(p) for p in pages]
+        self.known = {f for page in read for named in page.features for f in named if f.startswith(("name:", "like:", "before:"))}
         edges: Counter = Counter()
         for page in read:
             for node in range(1, len(page.parent)):
                 up = page.parent[node]
-                edges[page.wrapper(up), page.label[up], page.label[node]] += 1
+                edges[self._kind(page, node), page.label[up], page.label[node]] += 1
         few = 0.1  # added to each count
-        #: P(child's label | parent's label), for wrappers and other parents
+        #: P(child's label | parent's label), by whether the parent is a wrapper and what the child is
         self.edge = {
-            wrapper: [
-                [(edges[wrapper, up, down] + few) / (edges[wrapper, up, 0] + edges[wrapper, up, 1] + 2 * few) for down in (0, 1)] for up in (0, 1)
-            ]
-            for wrapper in (False, True)
+            kind: [[(edges[kind, up, down] + few) / (edges[kind, up, 0] + edges[kind, up, 1] + 2 * few) for down in (0, 1)] for up in (0, 1)]
+            for kind in [(wrapper, tag) for wrapper in (False, True) for tag in ("", *sorted(_BY_PARENT))]
         }
         self.weight: dict[str, float] = {}
         for _ in range(rounds):
             # the slope of the likelihood: labels less marginals, summed by feature
             for page in read:
                 for node, odds in enumerate(self.marginals(page)):
-                    if not page.wrapper(node):
+                    if not page.wrapper(node, self.known):
                         slope = page.label[node] - 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
                         for f in page.features[node]:
-                            self.weight[f] = self.weight.get(f, 0.0) + rate * slope
+                            before = self.weight.get(f, 0.0)
+                            self.weight[f] = before + rate * (slope - fade * before)
+
+    def _kind(self, page: Page, node: int) -> tuple[bool, str]:
+        """What the edge from its parent to a node is."""
+        tag = page.tag[node]
+        return page.wrapper(page.parent[node], self.known), tag if tag in _BY_PARENT else ""
 
     def marginals(self, page: Page) -> list[float]:
         """Of each node the log odds that it is content, by one pass of messages up and one down."""
-        weight, edge = self.weight, self.edge
-        n = len(page.parent)
-        belief = [0.0] * n
-        wraps = [page.wrapper(i) for i in range(n)]
-        for i in range(n):
-            belief[i] = 0.0 if wraps[i] else sum(weight.get(f, 0.0) for f in page.features[i])
+        weight, parent = self.weight, page.parent
+        n = len(parent)
+        edge = [self.edge[self._kind(page, i)] if i else None for i in range(n)]
+        belief = [0.0 if page.wrapper(i, self.known) else sum(weight.get(f, 0.0) for f in page.features[i]) for i in range(n)]
         sent = [0.0] * n
         for i in range(n - 1, 0, -1):
-            (p00, p01), (p10, p11) = edge[wraps[page.parent[i]]]
+            (p00, p01), (p10, p11) = edge[i]
             odds = math.exp(min(50.0, max(-50.0, belief[i])))
             sent[i] = math.log((odds * p11 + p10) / (odds * p01 + p00))
-            belief[page.parent[i]] += sent[i]
+            belief[parent[i]] += sent[i]
         for i in range(1, n):
-            (p00, p01), (p10, p11) = edge[wraps[page.parent[i]]]
-            odds = math.exp(min(50.0, max(-50.0, belief[page.parent[i]] - sent[i])))
+            (p00, p01), (p10, p11) = edge[i]
+            odds = math.exp(min(50.0, max(-50.0, belief[parent[i]] - sent[i])))
             belief[i] += math.log((odds * p11 + p01) / (odds * p10 + p00))
         return belief
 
@@ -264,7 +284,8 @@ class Model:
             return ""
         page = Page(source)
         belief = self.marginals(page)
-        return " ".join(text for node, text in page.segments if belief[node] >= 0)
+        found = (" ".join(html.unescape("".join([text for node, text in block if belief[node] >= 0])).split()) for block in page.blocks)
+        return " ".join(text for text in found if text)
 
 
 def extract_texts(pages: DataFrame) -> DataFrame:
