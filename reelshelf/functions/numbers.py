@@ -47,9 +47,17 @@ def exact_round(x: Column, digits: int) -> Column:
     return F.when(F.abs(x) < F.lit(_WHOLE_LIMIT / scale), rounded).otherwise(x)
 
 
+def is_float_text(c: Column) -> Column:
+    return c.rlike(_FLOAT_TEXT)
+
+
+def is_int_text(c: Column) -> Column:
+    return c.rlike(_INT_TEXT)
+
+
 def parse_float(c: Column) -> Column:
     """Double or NULL; NaN is NULL. Not rounded."""
-    value = F.when(c.rlike(_FLOAT_TEXT), c.try_cast("double"))
+    value = F.when(is_float_text(c), c.try_cast("double"))
     return F.nanvl(value, F.lit(None).cast("double"))
 
 
@@ -63,7 +71,12 @@ def safe_int(c: Column) -> Column:
 
     The pattern spares the failed cast, which raises and drops an exception per row.
     """
-    return F.when(c.rlike(_INT_TEXT), c.try_cast("int"))
+    return F.when(is_int_text(c), c.try_cast("int"))
+
+
+def safe_long(c: Column) -> Column:
+    """As safe_int, with 64 bits."""
+    return F.when(is_int_text(c), c.try_cast("bigint"))
 
 
 def thousandth(c: Column) -> Column:

@@ -9,10 +9,9 @@ hot partition freely (or broadcast the lookup when it measures it as small).
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelshelf import schemas
 from reelshelf.functions import fixed_values as V
 from reelshelf.functions import names as N
-from reelshelf.functions.numbers import truthy_text
+from reelshelf.functions.numbers import parse_float, safe_int, safe_long, truthy_text
 
 _KEY = ["endpoint", "language", "title", "search_year"]
 TMDB_COLUMNS = [
@@ -95,113 +94,128 @@ def resolve_ids(keys: DataFrame, ref_search: DataFrame) -> DataFrame:
 
 
 def parsed_reply() -> Column:
-    """JSON text -> nested columns; corrupt text is kept in its own field."""
-    return F.from_json(
-        "json", schemas.DETAIL_REPLY, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    )
+    """JSON text -> VARIANT; NULL when the text is no JSON object.
+
+    No schema here: a field of an odd type costs its own column, not the reply.
+    """
+    bare = F.btrim("json", F.lit(" \t\r\n"))
+    return F.when(bare.startswith("{") & bare.endswith("}"), F.try_parse_json("json"))
 
 
 def parse_details(ref_details: DataFrame) -> DataFrame:
     return ref_details.select("endpoint", "language", "id", parsed_reply().alias("d"))
 
 
-def one_reply_per_id(ref_details: DataFrame) -> DataFrame:
-    """Unique ids; an empty reply counts as none."""
-    told = ref_details.filter(~F.col("json").rlike(r"^\s*(\{\s*\}|null)?\s*$"))
-    return told.groupBy("endpoint", "language", "id").agg(F.max("json").alias("json"))
+def _told() -> Column:
+    """An empty reply counts as none."""
+    return ~F.col("json").rlike(r"^\s*(\{\s*\}|null)?\s*$")
 
 
-def _names(array: str, field: str):
-    return truthy_text(
-        F.concat_ws(",", F.transform(F.col(array), lambda e: F.coalesce(e[field], F.lit(""))))
-    )
+def _text(path: str) -> Column:
+    """A field as text, whatever its type; JSON null and a missing field are NULL."""
+    return F.try_variant_get(F.col("d"), path, "string")
+
+
+def _names(array: str, field: str) -> Column:
+    """One field of an array's objects, joined; an element without it leaves an empty place, no array is NULL."""
+    elements = F.try_variant_get(F.col("d"), f"$.{array}", "array<variant>")
+    named = F.transform(elements, lambda e: F.coalesce(F.try_variant_get(e, f"$.{field}", "string"), F.lit("")))
+    return F.when(elements.isNotNull(), truthy_text(F.concat_ws(",", named)))
 
 
 def is_usable_reply() -> Column:
-    return F.col("d").isNotNull() & F.col("d._corrupt_record").isNull()
+    return F.col("d").isNotNull()
 
 
 def detail_columns() -> list[Column]:
-    """Catalogue columns of a parsed reply ``d``. Empty text falls through to the TV field."""
+    """Catalogue columns of a parsed reply ``d``. Empty text falls through to the TV field.
+
+    A whole number or a number that can't be read as one is NULL; only a missing
+    runtime (or JSON null) falls through to the first episode's.
+    """
     def either(a, b):
-        return F.coalesce(truthy_text(F.col(f"d.{a}")), F.col(f"d.{b}"))
+        return F.coalesce(truthy_text(_text(f"$.{a}")), _text(f"$.{b}"))
 
+    runtime = _text("$.runtime")
     columns = {
         "tmdb_title": either("title", "name"),
         "tmdb_original_title": either("original_title", "original_name"),
-        "tmdb_rating": F.col("d.vote_average"),
-        "tmdb_vote_count": F.col("d.vote_count"),
-        "tmdb_genres": _names("d.genres", "name"),
+        "tmdb_rating": parse_float(_text("$.vote_average")),
+        "tmdb_vote_count": safe_long(_text("$.vote_count")),
+        "tmdb_genres": _names("genres", "name"),
         "tmdb_release_date": either("release_date", "first_air_date"),
-        "tmdb_overview": F.col("d.overview"),
-        "tmdb_runtime": F.coalesce(F.col("d.runtime"), F.get(F.col("d.episode_run_time"), F.lit(0))),
-        "tmdb_production_countries": _names("d.production_countries", "iso_3166_1"),
-        "tmdb_poster_path": F.col("d.poster_path"),
+        "tmdb_overview": _text("$.overview"),
+        "tmdb_runtime": safe_int(F.coalesce(runtime, _text("$.episode_run_time[0]"))),
+        "tmdb_production_countries": _names("production_countries", "iso_3166_1"),
+        "tmdb_poster_path": _text("$.poster_path"),
     }
-    return [F.when(is_usable_reply(), c).alias(name) for name, c in columns.items()]
+    return [c.alias(name) for name, c in columns.items()]
 
 
 def lookup_table(keys: DataFrame, ref_search: DataFrame, ref_details: DataFrame) -> DataFrame:
-    """All TMDB columns per search key that found an id.
+    """All TMDB columns per search key that found an id, and ``corrupt``.
 
-    Details are joined as text and parsed after the join: only replies in use
-    are parsed. A missing or corrupt reply leaves the id with tmdb_enriched = 0.
+    Details are reduced to the ids in use first (a broadcast or a runtime filter
+    when these are few), so that neither the choice of one reply per id nor the
+    parsing sees the others; the choice needs no exchange beyond the join's. A
+    missing or corrupt reply leaves the id with tmdb_enriched = 0.
     """
+    by_id = ["endpoint", "language", "tmdb_id"]
     found = resolve_ids(keys, ref_search).filter(F.col("tmdb_id").isNotNull())
-    replies = one_reply_per_id(ref_details).withColumnRenamed("id", "tmdb_id")
-    told = found.join(replies, ["endpoint", "language", "tmdb_id"], "left")
-    parsed = told.select(*_KEY, "tmdb_id", parsed_reply().alias("d"))
+    replies = ref_details.filter(_told()).withColumnRenamed("id", "tmdb_id").select(*by_id, "json")
+    used = replies.join(found.select(*by_id), by_id, "left_semi")
+    chosen = found.join(used, by_id, "left").groupBy(*by_id, "title", "search_year").agg(F.max("json").alias("json"))
+    parsed = chosen.select(*_KEY, "tmdb_id", "json", parsed_reply().alias("d"))
     return parsed.select(
-        *_KEY, "tmdb_id", *detail_columns(), F.coalesce(is_usable_reply(), F.lit(False)).cast("int").alias("tmdb_enriched")
+        *_KEY, "tmdb_id", *detail_columns(), is_usable_reply().cast("int").alias("tmdb_enriched"),
+        (F.col("json").isNotNull() & ~is_usable_reply()).alias("corrupt"),
     )
 
 
-def enrich(
-    named: DataFrame, ref_search: DataFrame, ref_details: DataFrame, key_source: DataFrame | None = None
-) -> DataFrame:
-    """Left join of the TMDB columns to files with name columns; every file stays.
+def lookup_of(named: DataFrame, ref_search: DataFrame, ref_details: DataFrame) -> DataFrame:
+    """The lookup table for the searches of some files."""
+    return lookup_table(distinct_search_keys(with_search_key(named)), ref_search, ref_details)
 
-    ``key_source`` may give the search keys from a cheaper plan than ``named``:
-    the keys are made distinct anyway, so it need not be unique per path.
-    """
-    keyed = with_search_key(named)
-    keys = distinct_search_keys(keyed if key_source is None else with_search_key(key_source))
-    lookup = lookup_table(keys, ref_search, ref_details)
-    # Files without a search would all hash to one partition; their path as the
-    # title spreads them. With endpoint "" it meets no lookup row.
-    left = keyed.select(
-        *named.columns,
+
+def _file_key(keyed: DataFrame, *columns: str) -> DataFrame:
+    """Files without a search would all hash to one partition; their path as the
+    title spreads them. With endpoint "" it meets no lookup row."""
+    return keyed.select(
+        *columns,
         F.col("endpoint").alias("_endpoint"),
         F.col("language").alias("_language"),
         F.when(F.col("endpoint") == "", F.col("file_path")).otherwise(F.col("title")).alias("_title"),
         F.coalesce("search_year", F.lit(-1)).alias("_year"),
     )
-    right = lookup.select(
+
+
+def _lookup_key(lookup: DataFrame, *columns) -> DataFrame:
+    return lookup.select(
         F.col("endpoint").alias("_endpoint"), F.col("language").alias("_language"),
-        F.col("title").alias("_title"), F.coalesce("search_year", F.lit(-1)).alias("_year"),
-        *TMDB_COLUMNS,
+        F.col("title").alias("_title"), F.coalesce("search_year", F.lit(-1)).alias("_year"), *columns,
     )
-    joined = left.join(right, ["_endpoint", "_language", "_title", "_year"], "left")
+
+
+_SAME = ["_endpoint", "_language", "_title", "_year"]
+
+
+def enrich(named: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Left join of the TMDB columns to files with name columns; every file stays."""
+    left = _file_key(with_search_key(named), *named.columns)
+    joined = left.join(_lookup_key(lookup, *TMDB_COLUMNS), _SAME, "left")
     return joined.select(
         *named.columns, *TMDB_COLUMNS[:-1], F.coalesce("tmdb_enriched", F.lit(0)).alias("tmdb_enriched")
     )
 
 
-def detail_errors(named: DataFrame, ref_search: DataFrame, ref_details: DataFrame, scan_ts: str) -> DataFrame:
+def detail_errors(named: DataFrame, lookup: DataFrame, scan_ts: str) -> DataFrame:
     """Error rows (stage tmdb) of files whose detail reply is corrupt; the files stay."""
-    keyed = with_search_key(named)
-    found = resolve_ids(distinct_search_keys(keyed), ref_search).filter(F.col("tmdb_id").isNotNull())
-    replies = parse_details(one_reply_per_id(ref_details)).filter(~is_usable_reply())
-    bad = found.join(
-        replies.select("endpoint", "language", F.col("id").alias("tmdb_id")),
-        ["endpoint", "language", "tmdb_id"], "left_semi",
-    ).select(
-        *[F.col(c).alias(f"_{c}") for c in _KEY],
+    bad = lookup.filter("corrupt").select(
+        "endpoint", "language", "title", "search_year",
         F.concat(F.lit("corrupt details of id "), F.col("tmdb_id").cast("string")).alias("error"),
     )
-    files = keyed.select("file_path", "filename", *_KEY).filter(F.col("endpoint") != "")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _KEY]
-    return files.join(bad, same).select(
+    files = _file_key(with_search_key(named), "file_path", "filename")
+    return files.join(_lookup_key(bad, "error"), _SAME).select(
         F.col("filename").alias("file"), F.col("file_path").alias("path"), "error",
         F.lit("tmdb").alias("stage"), F.lit(scan_ts).alias("time"),
     )

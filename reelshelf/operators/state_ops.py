@@ -1,6 +1,8 @@
 """Incremental runs: what is unchanged, what to redo, what to forget."""
 
-from pyspark.sql import Column, DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelshelf.functions.numbers import exact_round
@@ -80,9 +82,23 @@ def run_statistics(decisions: DataFrame, catalog: DataFrame, errors: DataFrame)
         .unionByName(failed, allowMissingColumns=True)
         .agg(*[F.max(n).alias(n) for n in names])
     )
+    return _with_rate(row)
+
+
+def _with_rate(row: DataFrame) -> DataFrame:
     seen = F.col("hits") + F.col("misses")
     rate = exact_round(F.try_divide("hits", seen) * F.lit(100.0), 1)
     return row.select(
         "total", F.coalesce(F.col("size_gb").cast("double"), F.lit(0.0)).alias("size_gb"),
         "hits", "misses", F.coalesce(rate, F.lit(0.0)).alias("rate"), "errors",
     )
+
+
+def statistics_row(spark: SparkSession, total: int, size_gb: Decimal | None, hits: int, misses: int, errors: int) -> DataFrame:
+    """The same row from numbers that the run's writes have counted."""
+    counts = {"total": total, "hits": hits, "misses": misses, "errors": errors}
+    row = spark.range(1).select(
+        *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()],
+        F.lit(None if size_gb is None else str(size_gb)).cast("decimal(24,3)").alias("size_gb"),
+    )
+    return _with_rate(row)

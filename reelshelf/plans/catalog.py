@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelshelf import schemas
 from reelshelf.functions import fixed_values as V
 from reelshelf.operators import enrichment, images as image_ops, inventory, scoring
+from reelshelf.operators.track_errors import range_errors
 from reelshelf.operators.track_fold import FOLDED_COLUMNS, fold_tracks
 
 
@@ -22,6 +23,7 @@ class Inputs:
     ref_details: DataFrame | None = None
     key: str = "file_path"
     track_chunk: object = None
+    lookup: DataFrame | None = None  # enrichment.lookup_of(...), where a run has it already
 
     def of(self, files: DataFrame) -> "Inputs":
         return replace(self, files=files)
@@ -42,10 +44,12 @@ def build_catalog(inputs: Inputs, as_of_year: int, scan_ts: str, enrich: bool =
     listing = inputs.files if unique else inventory.file_inventory(inputs.files)
     named = inventory.name_columns(listing, as_of_year, scan_ts)
     if enrich and inputs.ref_search is not None:
-        # The search keys come from the raw listing: they need no unique paths.
-        raw = inventory.filter_extensions(inventory.usable_files(inputs.files))
-        key_source = inventory.name_columns(raw, as_of_year, scan_ts)
-        named = enrichment.enrich(named, inputs.ref_search, inputs.ref_details, key_source)
+        lookup = inputs.lookup
+        if lookup is None:
+            # The searches come from the raw listing: they need no unique paths.
+            raw = inventory.filter_extensions(inventory.usable_files(inputs.files))
+            lookup = enrichment.lookup_of(inventory.name_columns(raw, as_of_year, scan_ts), inputs.ref_search, inputs.ref_details)
+        named = enrichment.enrich(named, lookup)
     else:
         nulls = [f for f in schemas.CATALOG.fields if f.name in enrichment.TMDB_COLUMNS[:-1]]
         named = named.select(
@@ -54,8 +58,10 @@ def build_catalog(inputs: Inputs, as_of_year: int, scan_ts: str, enrich: bool =
 
     key = inputs.key
     folded = fold_tracks(inputs.tracks, key, inputs.track_chunk)
+    # few rows, laid out by key like the folded ones: no further shuffle of these
+    folded = folded.join(range_errors(inputs.tracks, key), key, "left")
     folded = folded.select(
-        F.col(key).alias("_track_key"), *FOLDED_COLUMNS, "audio_language_code",
+        F.col(key).alias("_track_key"), *FOLDED_COLUMNS, "audio_language_code", "attribute_error",
         scoring.quality_score().alias("quality_score"),
     )
     pictures = image_ops.image_columns(inputs.images, key).withColumnRenamed(key, "_image_key")
@@ -72,7 +78,7 @@ def _final_column(field) -> str:
     if name == "content_language":
         value = "coalesce(audio_language_code, folder_language)"
     elif name == "processing_error":
-        value = f"CASE WHEN media_type <> 'photography' AND _track_key IS NULL THEN '{V.PROBE_FAILED}' END"
+        value = f"CASE WHEN media_type <> 'photography' AND _track_key IS NULL THEN '{V.PROBE_FAILED}' ELSE attribute_error END"
     elif name in _ZERO_WITHOUT_TRACKS:
         value = f"coalesce({name}, 0)"
     else:

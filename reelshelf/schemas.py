@@ -62,14 +62,6 @@ REF_SEARCH = _struct("""
     endpoint STRING, language STRING, query STRING, year INT, rank INT, id BIGINT
 """)
 REF_DETAILS = _struct("endpoint STRING, language STRING, id BIGINT, json STRING")
-DETAIL_REPLY = _struct("""
-    title STRING, name STRING, original_title STRING, original_name STRING,
-    vote_average DOUBLE, vote_count INT, genres GENRES,
-    release_date STRING, first_air_date STRING, overview STRING, runtime INT,
-    episode_run_time INT_ARRAY,
-    production_countries COUNTRIES, poster_path STRING,
-    _corrupt_record STRING
-""", GENRES=T.ArrayType(_struct("name STRING")), COUNTRIES=T.ArrayType(_struct("iso_3166_1 STRING")))
 
 ERRORS = _struct("file STRING, path STRING, error STRING, stage STRING, time STRING")
 
@@ -120,7 +112,7 @@ CATALOG = _struct("""
     camera_model STRING, date_taken STRING,
 
     tmdb_id BIGINT, tmdb_title STRING, tmdb_original_title STRING, tmdb_rating DOUBLE,
-    tmdb_vote_count INT, tmdb_genres STRING, tmdb_release_date STRING, tmdb_overview STRING,
+    tmdb_vote_count BIGINT, tmdb_genres STRING, tmdb_release_date STRING, tmdb_overview STRING,
     tmdb_runtime INT, tmdb_production_countries STRING, tmdb_poster_path STRING,
 
     is_4k INT NOT NULL, has_hdr INT NOT NULL, has_dolby_vision INT NOT NULL,
@@ -141,7 +133,7 @@ CATALOG = _struct("""
     quality_score DOUBLE, processing_error STRING, tmdb_enriched INT NOT NULL
 """)
 
-# What the state table stores per file: the lookup key, a tombstone mark, the row.
+# What the state table stores per file: the lookup key and the row.
 STATE = T.StructType([
     T.StructField("file_path", T.StringType()),
     T.StructField("mtime", T.TimestampNTZType()),

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine's results or plans rely on. Sizes (partitions, memory) are
 # the cluster's business: AQE coalesces from its spark.sql.shuffle.partitions.
@@ -16,6 +16,11 @@ SETTINGS = {
     # The JVM never compiles methods above 8000 bytes of bytecode. Wide stages that
     # would exceed it run operator by operator instead, in small compiled methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Spark 4.1 takes a union of bucketed scans for grouped by the bucket column and
+    # leaves out the exchange that would group it: wrong rows above stored state.
+    "spark.sql.unionOutputPartitioning": "false",
+    # In a reply that names a field twice the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 # Settings that only a new session can take.
@@ -59,3 +64,10 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="reelshelf-")
     return f"{base.rstrip('/')}/reelshelf/{purpose}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written once to the scratch folder and read back, for what several plans use."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,84 +1,209 @@
-"""Stored state: Parquet generations under a version folder.
+"""Stored state: Parquet generations under a version folder, and a pointer to those in force.
 
-``<root>/v=<version>/g<number>-<full|delta>-<tag>/``
+``<root>/v=<version>/g<number>-<full|delta>-<id>/``, ``<root>/v=<version>/current-<number>.json``
 
-A generation counts once its _SUCCESS marker is there, which Spark writes last:
-a lost driver leaves a folder that no reader looks at. Nothing is overwritten.
-A full generation stands for everything before it; a delta holds only changed
-rows, so that a small batch needn't rewrite the table. One writer at a time.
+The newest pointer names the generations that count, how many rows they have, and which
+batches they hold. It is written last, by a rename: a lost driver leaves a folder that no
+pointer names. Nothing is overwritten. One writer at a time.
+
+A full generation stands for everything before it. It is bucketed and sorted by path, so
+that a lookup by path moves the listing to it and leaves the wide state where it is. A delta
+holds changed rows and marks of deleted paths. After MERGE_DELTAS deltas these become one, or,
+once they are a fair share of the table, are folded into a new full generation; so
+the load plan stays the same size however many batches a stream has written.
 """
 
+import hashlib
+import json
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelshelf import schemas
 from reelshelf.functions.fixed_values import STATE_VERSION
+from reelshelf.session import SETTINGS
+
+MERGE_DELTAS = 8
+FOLD_SHARE = 0.25
 
-_NAME = re.compile(r"^g(\d{8})-(full|delta)-(.+)$")
+_POINTER = re.compile(r"^current-(\d{8})\.json$")
+_NEW = {"number": 0, "generations": [], "done": {}, "tag": None, "buckets": None}
 
 
 class StateTable:
-    def __init__(self, spark: SparkSession, root: str, version: str = STATE_VERSION, schema: T.StructType = schemas.STATE):
+    def __init__(
+        self, spark: SparkSession, root: str, version: str = STATE_VERSION, schema: T.StructType = schemas.STATE,
+        merge_deltas: int = MERGE_DELTAS, fold_share: float = FOLD_SHARE,
+    ):
         self.spark = spark
+        # what load() gives is right only with it, also in a session that configure() hasn't seen
+        union = "spark.sql.unionOutputPartitioning"
+        spark.conf.set(union, SETTINGS[union])
         self.folder = f"{root.rstrip('/')}/v={version}"
         self.schema = schema
+        self.delta_schema = T.StructType([*schema.fields, T.StructField("deleted", T.BooleanType())])
+        self.merge_deltas, self.fold_share = merge_deltas, fold_share
+        self.observed: dict = {}  # metrics of the last write
 
+    # --- the pointer ---------------------------------------------------------------
     def _fs(self, path: str):
         hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop_path
 
-    def _folders(self) -> list[tuple[int, str, str, str, bool]]:
-        """(number, kind, tag, path, committed), oldest first. Names only, no data."""
+    def pointer(self) -> dict:
+        """What is in force; an empty one when there is no state of this version."""
         fs, folder = self._fs(self.folder)
         if not fs.exists(folder):
-            return []
-        found = []
-        for status in fs.listStatus(folder):
-            match = _NAME.match(status.getPath().getName())
-            if match:
-                path = status.getPath().toString()
-                fs_, marker = self._fs(f"{path}/_SUCCESS")
-                found.append((int(match[1]), match[2], match[3], path, fs_.exists(marker)))
-        return sorted(found)
-
-    def _current(self) -> list[tuple[int, str, str, str, bool]]:
-        committed = [g for g in self._folders() if g[4]]
-        fulls = [i for i, g in enumerate(committed) if g[1] == "full"]
-        return committed[fulls[-1]:] if fulls else committed
+            return dict(_NEW)
+        names = [status.getPath().getName() for status in fs.listStatus(folder)]
+        newest = max((n for n in names if _POINTER.match(n)), default=None)
+        if newest is None:
+            return dict(_NEW)
+        stream = fs.open(self._fs(f"{self.folder}/{newest}")[1])
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _commit(self, pointer: dict) -> None:
+        name = f"{self.folder}/current-{pointer['number']:08d}.json"
+        fs, draft = self._fs(f"{self.folder}/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(json.dumps(pointer).encode())
+        out.close()
+        final = self._fs(name)[1]
+        if fs.exists(final) or not fs.rename(draft, final):
+            raise RuntimeError(f"another writer has committed {name}")
+
+    # --- reading ---------------------------------------------------------------------
+    def _path(self, generation: dict) -> str:
+        return f"{self.folder}/{generation['name']}"
+
+    def _bucketed(self, generation: dict) -> DataFrame:
+        """A full generation as a table, which tells Spark the layout of its files."""
+        path = self._path(generation)
+        name = f"state_{hashlib.md5(path.encode()).hexdigest()}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
+            f"CLUSTERED BY (file_path) SORTED BY (file_path) INTO {generation['buckets']} BUCKETS LOCATION '{path}'"
+        )
+        return self.spark.table(name)
+
+    def _deltas(self, generations: list[dict]) -> DataFrame:
+        """The newest row or mark per path over some deltas, oldest first."""
+        parts = [
+            self.spark.read.schema(self.delta_schema).parquet(self._path(g)).withColumn("_g", F.lit(i))
+            for i, g in enumerate(generations)
+        ]
+        if len(parts) == 1:
+            return parts[0].drop("_g")
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        # the winner is found on the narrow key; the wide rows never enter an aggregate
+        newest = rows.groupBy("file_path").agg(F.max("_g").alias("_g"))
+        return rows.join(newest, ["file_path", "_g"], "left_semi").drop("_g").select(*self.delta_schema.names)
 
     def load(self) -> DataFrame:
         """The state; empty when there is none of this version. Damaged files fail the query."""
-        generations = self._current()
+        generations = self.pointer()["generations"]
+        full = [g for g in generations if g["kind"] == "full"]
+        deltas = [g for g in generations if g["kind"] == "delta"]
         if not generations:
             return self.spark.createDataFrame([], self.schema)
-        parts = [self.spark.read.schema(self.schema).parquet(path) for _, _, _, path, _ in generations]
-        if len(parts) == 1:
-            return parts[0]
-        # Newest generation wins per path: mark the winner on the narrow key,
-        # then take its row; the wide data never enters an aggregate.
-        state, keys = None, None
-        for (number, *_), part in zip(generations, parts):
-            numbered = part.withColumn("_g", F.lit(number))
-            state = numbered if state is None else state.unionByName(numbered)
-        keys = state.groupBy("file_path").agg(F.max("_g").alias("_g"))
-        return state.join(keys, ["file_path", "_g"], "left_semi").drop("_g")
-
-    def _write(self, df: DataFrame, kind: str, tag: str) -> bool:
-        """False when this tag is committed already (a retried batch)."""
-        folders = self._folders()
-        if any(g[2] == tag and g[4] for g in folders):
+        if not deltas:
+            return self._bucketed(full[0])
+        changed = self._deltas(deltas)
+        rows = changed.filter("NOT deleted").select(*self.schema.names)
+        if not full:
+            return rows
+        old = self.spark.read.schema(self.schema).parquet(self._path(full[0]))
+        return old.join(changed.select("file_path"), "file_path", "left_anti").select(*self.schema.names).unionByName(rows)
+
+    # --- writing ---------------------------------------------------------------------
+    def _write(self, df: DataFrame, kind: str, pointer: dict, metrics: tuple = ()) -> dict:
+        """Rows (and metrics) are counted by the tasks that write, so that a repeated stage counts once."""
+        generation = {"name": f"g{pointer['number'] + 1:08d}-{kind}-{uuid.uuid4().hex[:8]}", "kind": kind}
+        seen = Observation()
+        count = F.count(F.lit(1)).alias("rows")
+        if kind == "full":
+            generation["buckets"] = pointer["buckets"] or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            name = f"state_{hashlib.md5(self._path(generation).encode()).hexdigest()}"
+            dealt = df.select(*self.schema.names).repartition(generation["buckets"], "file_path").observe(seen, count, *metrics)
+            dealt.write.bucketBy(generation["buckets"], "file_path").sortBy("file_path").option("path", self._path(generation)).saveAsTable(name)
+        else:
+            df.select(*self.delta_schema.names).observe(seen, count).write.mode("errorifexists").parquet(self._path(generation))
+        self.observed = dict(seen.get)
+        return generation | {"rows": self.observed["rows"]}
+
+    def write_full(self, df: DataFrame, tag: str, *metrics: Column) -> bool:
+        """Replace the state. False when this tag's full generation is the last thing written (a retried run).
+
+        Aliased aggregates in ``metrics`` are taken along in the write; ``observed`` has them afterwards.
+        """
+        pointer = self.pointer()
+        if pointer["tag"] == tag:
+            return False
+        generation = self._write(df, "full", pointer, metrics)
+        self._commit(pointer | {"number": pointer["number"] + 1, "generations": [generation], "tag": tag, "buckets": generation["buckets"]})
+        return True
+
+    def append_delta(self, df: DataFrame, tag: str, deleted: DataFrame | None = None) -> bool:
+        """Upsert and delete: ``df`` is unique per path, its rows replace earlier ones; paths of ``deleted`` go, but for those in ``df``.
+
+        ``tag`` is a source's name, "-" and its batch number, which rises with every batch. False
+        when the source has written this batch already (a retried one).
+        """
+        pointer = self.pointer()
+        source, number = self._source(tag)
+        if pointer["done"].get(source, -1) >= number:
             return False
-        number = max((g[0] for g in folders), default=0) + 1
-        names = [f.name for f in self.schema.fields]
-        df.select(*names).write.mode("errorifexists").parquet(f"{self.folder}/g{number:08d}-{kind}-{tag}")
+        rows = df.select(*self.schema.names).withColumn("deleted", F.lit(False))
+        if deleted is not None:
+            gone = deleted.select("file_path").distinct().join(df.select("file_path"), "file_path", "left_anti")
+            blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields if f.name != "file_path"]
+            rows = rows.unionByName(gone.select("file_path", *blank, F.lit(True).alias("deleted")))
+        generation = self._write(rows, "delta", pointer)
+        pointer = pointer | {
+            "number": pointer["number"] + 1, "generations": [*pointer["generations"], generation],
+            "done": pointer["done"] | {source: number}, "tag": None,
+        }
+        self._commit(pointer)
+        if sum(g["kind"] == "delta" for g in pointer["generations"]) >= self.merge_deltas:
+            self.compact()
         return True
 
-    def write_full(self, df: DataFrame, tag: str) -> bool:
-        return self._write(df, "full", tag)
+    @staticmethod
+    def _source(tag: str) -> tuple[str, int]:
+        source, _, number = tag.rpartition("-")
+        if not number.isdigit():
+            raise ValueError(f"a delta's tag is a name, '-' and a batch number: {tag}")
+        return source, int(number)
 
-    def append_delta(self, df: DataFrame, tag: str) -> bool:
-        """Upsert: ``df`` is unique per path, its rows replace earlier ones."""
-        return self._write(df, "delta", tag)
+    def compact(self, fold: bool | None = None) -> None:
+        """Make one delta of all, or fold them into a new full generation: by their share of rows, or as told."""
+        pointer = self.pointer()
+        full = [g for g in pointer["generations"] if g["kind"] == "full"]
+        deltas = [g for g in pointer["generations"] if g["kind"] == "delta"]
+        if not deltas:
+            return
+        if fold is None:
+            fold = sum(g["rows"] for g in deltas) >= self.fold_share * sum(g["rows"] for g in full)
+        if fold:
+            generation = self._write(self.load(), "full", pointer)
+            after = {"generations": [generation], "buckets": generation["buckets"]}
+        else:
+            after = {"generations": [*full, self._write(self._deltas(deltas), "delta", pointer)]}
+        self._commit(pointer | {"number": pointer["number"] + 1} | after)
+
+    def vacuum(self) -> int:
+        """Delete generations and pointers that are not in force. For times when no job reads older ones."""
+        pointer = self.pointer()
+        kept = {g["name"] for g in pointer["generations"]} | {f"current-{pointer['number']:08d}.json"}
+        fs, folder = self._fs(self.folder)
+        gone = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in kept] if fs.exists(folder) else []
+        return sum(bool(fs.delete(path, True)) for path in gone)

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import os
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 from reelshelf import schemas
-from reelshelf.operators import enrichment, state_ops
+from reelshelf.operators import enrichment, inventory, state_ops
 from reelshelf.plans.catalog import Inputs, build_catalog
-from reelshelf.plans.incremental import incremental_run
+from reelshelf.plans.incremental import incremental_run, save_run
 from reelshelf.session import scratch_dir
 from reelshelf.sources import catalog_csv, exports, listing
 from reelshelf.sources.state_table import StateTable
@@ -54,7 +55,7 @@ def test_plan_has_no_python_and_no_cross_join(inputs):
 def test_incremental_run_reuses_and_prunes(spark, inputs):
     table = StateTable(spark, scratch_dir(spark, "t"))
     first = incremental_run(inputs, table.load(), 2026, NOW)
-    assert table.write_full(first.state, "one") and not table.write_full(first.state, "one")
+    assert table.write_full(first.state, "one") and not table.write_full(first.state, "one") and table.observed["rows"] == 3
     changed = files_of(spark, [("F:/M/Movies/Alpha (1999).mkv", 10), ("F:/M/Movies/p.JPG", 5), ("F:/M/Movies/New S01E02.mkv", 3)])
     run = incremental_run(inputs.of(changed), table.load(), 2026, "2027-01-01T00:00:00")
     scanned = {r.filename: r.scanned_at_ts[:4] for r in run.catalog.collect()}
@@ -67,22 +68,93 @@ def test_incremental_run_reuses_and_prunes(spark, inputs):
     assert (stats.total, stats.hits, stats.misses, stats.rate, stats.errors) == (3, 2, 1, 66.7, 0)
 
 
+def keyed(spark, *items):
+    return spark.createDataFrame([(p, None, s, 1) for p, s in items], KEYS)
+
+
+def contents(table):
+    return {(r.file_path, r.size_bytes) for r in table.load().collect()}
+
+
 def test_state_generations(spark):
     root = scratch_dir(spark, "g")
     schema = spark.createDataFrame([], KEYS).schema
     table = StateTable(spark, root, schema=schema)
-    assert table.load().count() == 0
-    rows = lambda *items: spark.createDataFrame([(p, None, s, 1) for p, s in items], schema)
-    table.write_full(rows(("a", 1), ("b", 1)), "x")
-    table.append_delta(rows(("b", 2), ("c", 2)), "y")
-    table.append_delta(rows(("c", 3)), "z")
-    assert {(r.file_path, r.size_bytes) for r in table.load().collect()} == {("a", 1), ("b", 2), ("c", 3)}
-    assert not table.append_delta(rows(("a", 9)), "z")
-    os.remove(os.path.join(table.folder, "g00000003-delta-z", "_SUCCESS"))
-    assert {(r.file_path, r.size_bytes) for r in table.load().collect()} == {("a", 1), ("b", 2), ("c", 2)}
+    assert table.load().count() == 0 and table.vacuum() == 0
+    table.write_full(keyed(spark, ("a", 1), ("b", 1)), "x")
+    table.append_delta(keyed(spark, ("b", 2), ("c", 2)), "s-0")
+    table.append_delta(keyed(spark, ("c", 3)), "s-1")
+    assert contents(table) == {("a", 1), ("b", 2), ("c", 3)}
+    # a batch that runs again, or an older one, writes nothing; another source's does
+    assert not table.append_delta(keyed(spark, ("a", 9)), "s-1") and not table.append_delta(keyed(spark, ("a", 9)), "s-0")
+    assert table.append_delta(keyed(spark, ("d", 1)), "other-0")
+    with pytest.raises(ValueError):
+        table.append_delta(keyed(spark, ("a", 9)), "no number")
+    # without its newest pointer the table is what it was before: a lost driver leaves a folder that nobody reads
+    newest = os.path.join(table.folder, f"current-{table.pointer()['number']:08d}.json")
+    os.rename(newest, newest + ".lost")
+    assert contents(table) == {("a", 1), ("b", 2), ("c", 3)}
+    assert not os.path.exists(os.path.join(table.folder, "_SUCCESS"))
     assert StateTable(spark, root, version="2.0", schema=schema).load().count() == 0
 
 
+def test_state_does_not_need_success_markers(spark):
+    spark.conf.set("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
+    try:
+        table = StateTable(spark, scratch_dir(spark, "m"), schema=spark.createDataFrame([], KEYS).schema)
+        table.write_full(keyed(spark, ("a", 1)), "x")
+        table.append_delta(keyed(spark, ("b", 1)), "s-0")
+        assert contents(table) == {("a", 1), ("b", 1)}
+    finally:
+        spark.conf.unset("mapreduce.fileoutputcommitter.marksuccessfuljobs")
+
+
+def test_fifty_batches_leave_a_small_plan(spark):
+    schema = spark.createDataFrame([], KEYS).schema
+    table = StateTable(spark, scratch_dir(spark, "c"), schema=schema, merge_deltas=4)
+    table.write_full(keyed(spark, *[(f"p{i}", 0) for i in range(200)]), "x")
+    expected, kinds = {f"p{i}": 0 for i in range(200)}, set()
+    for batch in range(50):
+        rows = [(f"p{(batch * 3 + k) % 210}", batch + 1) for k in range(2)]
+        gone = f"p{(batch * 7) % 200}"
+        table.append_delta(keyed(spark, *rows), f"s-{batch}", keyed(spark, (gone, 0)))
+        expected.pop(gone, None)
+        expected.update(rows)
+        generations = table.pointer()["generations"]
+        assert len(generations) <= 5
+        kinds.add(tuple(g["kind"] for g in generations))
+    assert contents(table) == set(expected.items())
+    assert ("full",) in kinds and any(len(k) == 2 for k in kinds)  # folded at times, merged at others
+    assert not table.append_delta(keyed(spark, ("p0", 9)), "s-49")
+    table.compact(fold=True)
+    assert contents(table) == set(expected.items()) and [g["rows"] for g in table.pointer()["generations"]] == [len(expected)]
+    assert table.vacuum() > 50 and contents(table) == set(expected.items())
+
+
+def test_lookup_leaves_the_state_where_it_is(spark, inputs):
+    schema = spark.createDataFrame([], KEYS).schema
+    table = StateTable(spark, scratch_dir(spark, "b"), schema=schema)
+    table.write_full(keyed(spark, ("F:/M/Movies/Alpha (1999).mkv", 10), ("x", 1)), "x")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = state_ops.lookup(inputs.files, table.load())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
+    assert found.count() == 4
+
+
+def test_merge_of_bucketed_state_and_deltas_groups_right(spark):
+    """Unions over bucketed scans must not be taken for grouped by path."""
+    schema = spark.createDataFrame([], KEYS).schema
+    table = StateTable(spark, scratch_dir(spark, "u"), schema=schema)
+    table.write_full(keyed(spark, *[(f"p{i}", 1) for i in range(50)]), "x")
+    both = table.load().unionByName(table.load())
+    assert both.groupBy("file_path").count().filter("count = 2").count() == 50
+
+
 def test_listing_stream_equals_batch(spark, inputs):
     root = scratch_dir(spark, "s")
     for i in range(3):
@@ -105,6 +177,19 @@ def test_csv_keeps_ints_quotes_and_backslashes(spark):
     assert {tuple(r) for r in back.collect()} == {('F:\\M "q", x', 1973, "two lines"), (None, None, None)}
 
 
+def test_csv_keeps_blanks_and_sets_broken_lines_aside(spark):
+    path = scratch_dir(spark, "d")
+    schema = spark.createDataFrame([], "p string NOT NULL, y int, t string").schema
+    rows = spark.createDataFrame([(" a ", 1, " b"), ("", None, "")], "p string, y int, t string")
+    catalog_csv.write_catalog_csv(rows, path)
+    catalog_csv.write_catalog_csv(rows.select("p", "t"), path, mode="append")  # too few fields
+    catalog_csv.write_catalog_csv(rows.select(F.lit("z"), F.lit("no year"), "t"), path, mode="append")  # a value of another type
+    back = catalog_csv.read_catalog_csv(spark, path, schema)
+    assert sorted(map(tuple, back.collect())) == [("", None, None), (" a ", 1, " b")]
+    lines = [r.line for r in catalog_csv.read_corrupt_lines(spark, path, schema).collect()]
+    assert sorted(lines) == ['"",""', '" a "," b"', '"z","no year",""', '"z","no year"," b"']
+
+
 def test_legacy_csv(spark, tmp_path):
     (tmp_path / "old.csv").write_bytes('\ufeff"p","y"\r\n"F:\\\\M","1973.0"\r\n"","" \r\n'.encode())
     schema = spark.createDataFrame([], "p string, y int").schema
@@ -132,6 +217,86 @@ def test_corrupt_reply_is_an_error_row_and_the_file_stays(spark, inputs):
     assert exports.write_errors(run.errors, path) and spark.read.json(path).count() == 1
 
 
+def test_odd_types_cost_their_own_column(spark):
+    replies = {
+        1: '{"title":"A","runtime":45.5,"vote_count":3000000000,"genres":[{"name":"X"},{"id":2},7,null,{"name":5}]}',
+        2: '{"title":45,"vote_average":"7.5","vote_count":"12","runtime":"88","genres":"Drama","overview":{"a":1}}',
+        3: '{"title":"B","title":"C","runtime":null,"episode_run_time":[50],"genres":null,"production_countries":[]}',
+        4: '{"title":"D","episode_run_time":7,"vote_average":"NaN"}', 5: '{"title":"E"', 6: "[1]", 7: '"x"', 8: None, 9: '{"title":"F"} rest',
+    }
+    df = spark.createDataFrame([("movie", "en-US", i, j) for i, j in replies.items()], "endpoint string, language string, id bigint, json string")
+    got = {r.id: r for r in enrichment.parse_details(df).select("id", F.col("d").isNull().alias("corrupt"), *enrichment.detail_columns()).collect()}
+    assert [i for i in got if got[i].corrupt] == [5, 6, 7, 8, 9]
+    one, two, three, four = (got[i] for i in (1, 2, 3, 4))
+    assert (one.tmdb_title, one.tmdb_runtime, one.tmdb_vote_count, one.tmdb_genres) == ("A", None, 3_000_000_000, "X,,,,5")
+    assert (two.tmdb_title, two.tmdb_rating, two.tmdb_vote_count, two.tmdb_runtime, two.tmdb_genres, two.tmdb_overview) == ("45", 7.5, 12, 88, None, '{"a":1}')
+    assert (three.tmdb_title, three.tmdb_runtime, three.tmdb_genres, three.tmdb_production_countries) == ("C", 50, None, None)
+    assert (four.tmdb_title, four.tmdb_runtime, four.tmdb_rating) == ("D", None, None)
+
+
+def test_details_are_reduced_below_the_choice(spark, inputs):
+    named = inventory.name_columns(inputs.files, 2026, NOW)
+    plan = enrichment.lookup_of(named, inputs.ref_search, inputs.ref_details)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("max(json") < plan.index("LeftSemi")  # the aggregate stands above the reduction
+
+
+def test_numbers_out_of_range_are_row_errors(spark, inputs):
+    path = "F:/M/Movies/Alpha (1999).mkv"
+    rows = [(path, 0, "General", "n/a", None, None), (path, 1, "Video", None, "99999999999", "8.0"), (path, 2, "Video", None, "-3000000000", "12")]
+    tracks = conform(spark.createDataFrame(rows, "file_path string, track_order bigint, track_type string, duration string, width string, height string"), schemas.TRACKS)
+    run = incremental_run(replace(inputs, tracks=tracks), StateTable(spark, scratch_dir(spark, "n")).load(), 2026, NOW)
+    told = {r.filename: r.processing_error for r in run.catalog.collect()}
+    assert told["Alpha (1999).mkv"] == "width: 99999999999 is out of range (track 1) and 1 more"
+    errors = sorted(r.error for r in run.errors.collect() if r.stage == "attributes")
+    assert errors == ["duration: n/a is no number (track 0)", "height: 8.0 is no number (track 1)", "width: -3000000000 is out of range (track 2)", "width: 99999999999 is out of range (track 1)"]
+
+
+def test_statistics_are_counted_by_the_writes(spark, inputs):
+    root = scratch_dir(spark, "w")
+    table = StateTable(spark, f"{root}/state")
+    run = incremental_run(inputs, table.load(), 2026, NOW)
+    row = save_run(run, table, "one", NOW, f"{root}/errors", f"{root}/statistics").first()
+    plain = state_ops.run_statistics(run.decisions, run.catalog, run.errors).first()
+    assert tuple(row) == tuple(plain) and (row.total, row.hits, row.misses) == (3, 0, 3)
+    again = incremental_run(inputs, table.load(), 2026, NOW)
+    assert tuple(save_run(again, table, "one", NOW).first())[:2] == tuple(row)[:2]  # in force already
+    told = spark.read.json(f"{root}/statistics").first()
+    assert (told["date"], told.total, told.cache.misses, told.errors) == (NOW, 3, 3, row.errors)
+
+
+def test_only_touched_partitions_are_written(spark, inputs):
+    root = scratch_dir(spark, "x")
+    table = StateTable(spark, f"{root}/state")
+    save_run(incremental_run(inputs, table.load(), 2026, NOW, enrich=False), table, "one", NOW)
+    exports.write_catalog_parquet(table.load().select("data.*"), f"{root}/export")
+    files = lambda: {os.path.join(d, f) for d, _, names in os.walk(f"{root}/export") for f in names if f.endswith(".parquet")}
+    before = files()
+    assert {f.split("media_type=")[1].split("/")[0] for f in before} == {"movie", "photography"}
+    # the photo goes: its partition goes, the films' files stay
+    run = incremental_run(inputs.of(inputs.files.filter("NOT file_path LIKE '%JPG'")), table.load(), 2026, NOW, enrich=False)
+    exports.write_changed_parquet(run.catalog, run.touched, f"{root}/export")
+    assert files() == {f for f in before if "media_type=movie" in f}
+    # a changed film: its partition is written anew
+    run = incremental_run(inputs.of(inputs.files.withColumn("size_bytes", F.col("size_bytes") + 1)), table.load(), 2026, NOW, enrich=False)
+    exports.write_changed_parquet(run.catalog, run.touched, f"{root}/export")
+    back = spark.read.parquet(f"{root}/export")
+    assert not files() & before and sorted(r.size_bytes for r in back.collect()) == [6, 11, 21]
+
+
+def test_listing_stream_deletes_and_reports(spark, inputs):
+    root = scratch_dir(spark, "l")
+    table = StateTable(spark, f"{root}/state", merge_deltas=2)
+    kind = schemas.FILES.add("deleted", "boolean")
+    bad = inputs.files.limit(1).withColumn("size_bytes", F.lit(-1).cast("bigint"))
+    steps = [inputs.files.unionByName(bad).withColumn("deleted", F.lit(None).cast("boolean")), inputs.files.filter("file_path LIKE '%Beta%'").withColumn("deleted", F.lit(True))]
+    for step in steps:
+        step.coalesce(1).write.mode("append").parquet(f"{root}/landed")
+        stream = spark.readStream.schema(kind).parquet(f"{root}/landed")
+        ingest_listing(stream, inputs, table, f"{root}/cp", 2026, NOW, errors_to=f"{root}/errors").awaitTermination()
+    assert {r.filename for r in table.load().select("data.*").collect()} == {"Alpha (1999).mkv", "p.JPG"}
+    assert "negative size" in {r.error for r in spark.read.json(f"{root}/errors").collect()}
+
+
 def test_search_explode_ranks_by_position(spark):
     replies = spark.createDataFrame([("tv", "en-US", "q", [(5, 2001), (4, None)])], schemas.REF_SEARCH_REPLIES)
     assert [(r["rank"], r.id, r.year) for r in enrichment.explode_search(replies).collect()] == [(1, 5, 2001), (2, 4, None)]

@@ -6,6 +6,7 @@ engine's ``exact_round`` promises. RE2 has no lookahead, so 'hd(?!tv)' is spelle
 
 from workload import views as W
 
+# Languages, folder rules, extensions and patterns as the catalogue's results need them.
 _LANGS = [("pl", "polish"), ("en", "english"), ("cs", "czech"), ("es", "spanish"), ("de", "german"), ("fr", "french"), ("it", "italian")]
 _FOLDERS = [
     ("christmas", "christmas", "mixed"), ("concert", "concert", "mixed"), ("docu", "documentary", "mixed"),
@@ -226,14 +227,35 @@ CTES = {
 }
 
 
+def _problems():
+    whole, number = "[-+]?[0-9]+", "[-+]?[0-9]+([.][0-9]*)?"
+    asked = [("General", "part_id", whole), *[("Video", a, whole) for a in ("width", "height", "bit_depth")],
+             *[("General", a, number) for a in ("duration", "overall_bit_rate")],
+             *[("Video", a, number) for a in ("frame_rate", "bit_rate", "bit_rate_maximum", "source_duration")], ("Audio", "bit_rate", number)]
+    return " UNION ALL ".join(
+        f"SELECT file_id, track_order, '{a}' AS attribute, {a} AS raw, CASE WHEN regexp_full_match(trim({a}), '{pattern}') THEN 'out of range' ELSE 'no number' END AS reason"
+        f" FROM media_tracks WHERE track_type = '{kind}' AND {a} <> '' AND (NOT regexp_full_match(trim({a}), '{pattern}')"
+        + (f" OR TRY_CAST(trim({a}) AS INTEGER) IS NULL)" if pattern == whole else ")")
+        for kind, a, pattern in asked
+    )
+
+
+CTES["problems"] = _problems()
+CTES["ranged"] = """SELECT file_id, arg_min(attribute || ': ' || raw || ' is out of range (track ' || track_order || ')', struct_pack(a := track_order, b := attribute, c := raw))
+  || CASE WHEN count(*) > 1 THEN ' and ' || (count(*) - 1) || ' more' ELSE '' END AS attribute_error FROM problems WHERE reason = 'out of range' GROUP BY file_id"""
+
+
 def _details(table):
     js = lambda f: f"json_extract_string(json, '$.{f}')"
+    whole = lambda text, kind: f"CASE WHEN regexp_full_match({text}, '[-+]?[0-9]+') THEN TRY_CAST({text} AS {kind}) END"
+    number = lambda text: f"CASE WHEN regexp_full_match({text}, '[-+]?[0-9]+([.][0-9]*)?') THEN TRY_CAST({text} AS DOUBLE) END"
+    runtime = f"coalesce({js('runtime')}, {js('episode_run_time[0]')})"
     return f"""SELECT endpoint, language, id,
   coalesce(nullif({js('title')}, ''), {js('name')}) AS tmdb_title, coalesce(nullif({js('original_title')}, ''), {js('original_name')}) AS tmdb_original_title,
-  CAST({js('vote_average')} AS DOUBLE) AS tmdb_rating, CAST({js('vote_count')} AS INTEGER) AS tmdb_vote_count,
+  {number(js('vote_average'))} AS tmdb_rating, {whole(js('vote_count'), 'BIGINT')} AS tmdb_vote_count,
   nullif(array_to_string(json_extract_string(json, '$.genres[*].name'), ','), '') AS tmdb_genres,
   coalesce(nullif({js('release_date')}, ''), {js('first_air_date')}) AS tmdb_release_date, {js('overview')} AS tmdb_overview,
-  coalesce(CAST({js('runtime')} AS INTEGER), CAST({js('episode_run_time[0]')} AS INTEGER)) AS tmdb_runtime,
+  {whole(runtime, 'INTEGER')} AS tmdb_runtime,
   nullif(array_to_string(json_extract_string(json, '$.production_countries[*].iso_3166_1'), ','), '') AS tmdb_production_countries,
   {js('poster_path')} AS tmdb_poster_path FROM (SELECT endpoint, language, id, CASE WHEN json_valid(json) THEN json END AS json FROM {table}) d WHERE json IS NOT NULL"""
 
@@ -258,16 +280,17 @@ def _catalog_sql():
     from reelshelf.schemas import CATALOG
 
     names = {"content_language": "coalesce(audio_language_code, folder_language)", "created_at_ts": "CAST(NULL AS VARCHAR)",
-             "processing_error": "CASE WHEN media_type <> 'photography' AND fid IS NULL THEN 'MediaInfo parse failed' END"}
+             "processing_error": "CASE WHEN media_type <> 'photography' AND fid IS NULL THEN 'MediaInfo parse failed' ELSE attribute_error END"}
     cols = []
     for f in CATALOG.fields:
         expr = names.get(f.name, f.name)
         if not f.nullable and f.dataType.simpleString() == "int":
             expr = f"coalesce({expr}, 0)"
         cols.append(f"{expr} AS {f.name}")
-    return ("SELECT " + ", ".join(cols) + """ FROM (SELECT n.* EXCLUDE (f, parts, file_id), s.* EXCLUDE (file_id), s.file_id AS fid, p.* EXCLUDE (file_id), e.* EXCLUDE (file_id)
+    return ("SELECT " + ", ".join(cols) + """ FROM (SELECT n.* EXCLUDE (f, parts, file_id), s.* EXCLUDE (file_id), s.file_id AS fid, p.* EXCLUDE (file_id), e.* EXCLUDE (file_id), x.attribute_error
   FROM named n LEFT JOIN scored s ON s.file_id = n.file_id AND n.media_type <> 'photography'
-  LEFT JOIN pictures p ON p.file_id = n.file_id AND n.media_type = 'photography' LEFT JOIN enriched e ON e.file_id = n.file_id) j""")
+  LEFT JOIN pictures p ON p.file_id = n.file_id AND n.media_type = 'photography' LEFT JOIN enriched e ON e.file_id = n.file_id
+  LEFT JOIN ranged x ON x.file_id = n.file_id AND n.media_type <> 'photography') j""")
 
 
 CTES["catalog"] = _catalog_sql()
@@ -310,8 +333,17 @@ def build():
   CASE WHEN size_text = 'n/a' THEN 'missing size' WHEN size_text = '-1' THEN 'negative size' ELSE 'missing modification time' END AS error,
   'processing' AS stage, '{W.SCAN_TS}' AS time FROM raw_listing
   WHERE (size_text IN ('n/a', '-1') OR mtime IS NULL) AND {_EXT.format(n=_NAME.format(p='file_path'))} IN ({_ALLOWED})"""
-    flags = ["is_4k", "has_hdr", "has_dolby_vision", "has_atmos", "has_dts_x", "has_lossless_audio"]
+    from reelshelf.schemas import CATALOG
+
     gb = "CAST(sum(CAST(size_gb AS DECIMAL(24,3))) AS DOUBLE)"
+    read_back = "SELECT " + ", ".join(
+        f"nullif({f.name}, '') AS {f.name}" if f.nullable and f.dataType.simpleString() == "string" else f.name for f in CATALOG.fields
+    ) + " FROM catalog"
+    attribute_errors = f"""SELECT n.filename AS file, n.file_path AS path, attribute || ': ' || raw || ' is ' || reason || ' (track ' || track_order || ')' AS error,
+  'attributes' AS stage, '{W.SCAN_TS}' AS time, n.file_id FROM problems p JOIN named n ON n.file_id = p.file_id WHERE n.media_type <> 'photography'"""
+    usable = "SELECT n.* FROM named n JOIN raw_listing r ON r.file_id = n.file_id WHERE r.size_text NOT IN ('n/a', '-1') AND r.mtime IS NOT NULL"
+    ids = "(SELECT file_id, file_path FROM media_files)"
+    flags = ["is_4k", "has_hdr", "has_dolby_vision", "has_atmos", "has_dts_x", "has_lossless_audio"]
     sql = {
         "file_inventory": f"SELECT file_path, source_root, size_bytes, {_iso('mtime')} AS mtime FROM inventory",
         "filter_extensions": "SELECT file_path FROM inventory",
@@ -324,6 +356,21 @@ def build():
         "csv_roundtrip": r"""SELECT doc_id, lang, md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS text_md5, 'F:\"q", ' || source || '\' AS path,
   CASE WHEN doc_id % 3 <> 0 THEN nullif(source, '') END AS maybe_empty, CASE WHEN doc_id % 5 <> 0 THEN CAST(n_chars AS INTEGER) END AS maybe_int FROM documents""",
         "sanitize_newlines": r"SELECT doc_id, CAST(length(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS INTEGER) AS chars, md5(regexp_replace(text, '[\r\n]+', ' ', 'g')) AS text_md5 FROM documents",
+        "ref_details_odd": "SELECT * FROM details_left",
+        "stream_catalog": read_back,
+        "stream_listing": "SELECT * FROM catalog",
+        "stream_dead_letters": "SELECT '\"' || file_path || '\",\"x\"' AS line FROM media_files WHERE file_id % 50 = 0",
+        "csv_catalog": read_back,
+        "state_compaction": """SELECT file_path, size_bytes + 5 AS size_bytes, 1 AS tmdb_enriched FROM media_files WHERE NOT (file_id % 10 < 3 AND file_id % 3 = 1)
+  UNION ALL SELECT file_path, size_bytes, tmdb_enriched FROM state WHERE file_path NOT IN (SELECT file_path FROM media_files)""",
+        "state_table_lookup": lookup,
+        "row_errors": f"SELECT * EXCLUDE (file_id) FROM ({attribute_errors}) q",
+        "run_stats_written": f"""SELECT '{W.LATER_TS}' AS date, count(*) AS total, {gb} AS size_gb, count(*) FILTER (WHERE file_id % 7 <> 0) AS hits, count(*) FILTER (WHERE file_id % 7 = 0) AS misses,
+  {_round('count(*) FILTER (WHERE file_id % 7 <> 0) / count(*)::DOUBLE * 100', 1)} AS rate,
+  (SELECT count(*) FROM ({listing_errors}) e) + (SELECT count(*) FROM ({attribute_errors}) a JOIN ({usable}) u USING (file_id) WHERE file_id % 7 = 0) AS errors FROM ({usable}) t""",
+        "incremental_enriched": f"""SELECT c.* REPLACE (CASE WHEN file_id % 11 <> 0 AND file_id % 7 <> 0 AND c.tmdb_enriched = 1 THEN '{W.SCAN_TS}' ELSE '{W.LATER_TS}' END AS scanned_at_ts)
+  FROM catalog c JOIN {ids} m ON m.file_path = c.file_path""",
+        "export_changed": f"""SELECT file_path, size_bytes, CASE WHEN extension = '.jpg' THEN '{W.LATER_TS}' ELSE '{W.SCAN_TS}' END AS scanned_at_ts, media_type, quality_score FROM catalog""",
         "state_upsert": upsert,
         "state_upsert_join": upsert,
         "errors_table": listing_errors + f"""

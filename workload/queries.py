@@ -4,24 +4,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
 from reelshelf.functions import attributes as A
 from reelshelf.functions import names as N
 from reelshelf.functions.numbers import exact_round, parse_float, safe_int, thousandth
 from reelshelf.operators import enrichment as E
-from reelshelf.operators import images, inventory, reports, sanitize, state_ops
+from reelshelf.operators import images, inventory, reports, sanitize, state_ops, track_errors
 from reelshelf.operators.track_fold import (
     AUDIO_FLAGS, AUDIO_LISTS, GENERAL_LAST, GENERAL_LAST_NUMBER, GENERAL_LAST_TRUTHY, TEXT_FLAGS,
     TEXT_LISTS, VIDEO_LAST, VIDEO_LAST_NUMBER, VIDEO_LAST_TRUTHY, fold_tracks,
 )
 from reelshelf.plans.catalog import build_catalog
-from reelshelf.plans.incremental import incremental_run
+from reelshelf.plans.incremental import incremental_run, save_run
 from reelshelf.session import configure, scratch_dir
 from reelshelf.sources.catalog_csv import read_catalog_csv, read_catalog_stream, write_catalog_csv
-from reelshelf.sources.exports import write_catalog_parquet
+from reelshelf.sources.exports import write_catalog_parquet, write_changed_parquet
 from reelshelf.sources.state_table import StateTable
-from reelshelf.streaming.ingest import ingest_catalog
-from workload.views import AS_OF_YEAR, SCAN_TS, Views
+from reelshelf.streaming.ingest import ingest_catalog, ingest_listing
+from workload.views import AS_OF_YEAR, LATER_TS, SCAN_TS, Views
 
 def _path():
     return F.col("file_path")
@@ -88,6 +87,78 @@ def _small_catalog(v):
     )
 
 
+def state_table_lookup(v):
+    """The lookup against a stored full generation: the state's side is read bucket by bucket."""
+    table = StateTable(v.spark, scratch_dir(v.spark, "bucketed"), schema=v.state.schema)
+    table.write_full(v.state, "base")
+    return state_ops.lookup(inventory.file_inventory(v.files), table.load()).select("file_path", "hit", "reuse")
+
+
+def state_compaction(v):
+    """Ten deltas with changes and deletions over a full generation; they are merged and folded on the way."""
+    table = StateTable(v.spark, scratch_dir(v.spark, "compaction"), schema=v.state.schema, merge_deltas=4, fold_share=0.5)
+    table.write_full(v.state, "base")
+    for i in range(10):
+        share = F.col("file_id") % 10
+        rows = v.files.filter(share == i).select("file_path", "mtime", (F.col("size_bytes") + 5).alias("size_bytes"), F.lit(1).alias("tmdb_enriched"))
+        table.append_delta(rows, f"run-{i}", v.files.filter((share == (i + 3) % 10) & (F.col("file_id") % 3 == 1)))
+    return table.load().select("file_path", "size_bytes", "tmdb_enriched")
+
+
+def csv_catalog(v):
+    """The whole catalogue row written as CSV and read back."""
+    path = scratch_dir(v.spark, "csv-catalog")
+    write_catalog_csv(_catalog(v), path)
+    return read_catalog_csv(v.spark, path)
+
+
+def _with_broken_lines(v, rows, folder):
+    """Rows landed as CSV, and among the files some whose lines have two fields."""
+    write_catalog_csv(rows, folder)
+    broken = v.files.filter(F.col("file_id") % 50 == 0).select("file_path", F.lit("x").alias("rest"))
+    write_catalog_csv(broken, folder, mode="append")
+
+
+def stream_catalog(v):
+    """The whole catalogue row landed as CSV, with broken lines between -> stream -> state."""
+    root = scratch_dir(v.spark, "stream-catalog")
+    _with_broken_lines(v, _catalog(v), f"{root}/landed")
+    table = StateTable(v.spark, f"{root}/state")
+    stream = read_catalog_stream(v.spark, f"{root}/landed", files_per_batch=8)
+    ingest_catalog(stream, table, f"{root}/checkpoint", errors_to=f"{root}/errors").awaitTermination()
+    return table.load().select("data.*")
+
+
+def stream_dead_letters(v):
+    """The broken lines of a landed folder, as the stream sets them aside."""
+    root = scratch_dir(v.spark, "stream-errors")
+    _with_broken_lines(v, _small_catalog(v), f"{root}/landed")
+    table = StateTable(v.spark, f"{root}/state", schema=STATE_ROW)
+    stream = read_catalog_stream(v.spark, f"{root}/landed", STATE_ROW, files_per_batch=8)
+    ingest_catalog(stream, table, f"{root}/checkpoint", to_state=lambda rows: rows, errors_to=f"{root}/errors").awaitTermination()
+    return v.spark.read.schema("line string").json(f"{root}/errors").select("line")
+
+
+def stream_listing(v):
+    """A listing that lands in three steps (older versions, changes, deletions) -> the incremental run of each batch -> state."""
+    root = scratch_dir(v.spark, "stream-listing")
+    old = F.col("file_id") % 7 == 0
+    first = v.files.select("file_id", F.when(old, F.col("size_bytes") + 1).otherwise(F.col("size_bytes")).alias("size_bytes"), "file_path", "source_root", "mtime", F.lit(None).cast("boolean").alias("deleted"))
+    gone = v.files.filter(F.col("file_id") % 9 == 0).select("file_id", "size_bytes", F.concat(F.lit("gone/"), "file_path").alias("file_path"), "source_root", "mtime")
+    unusable = v.files.filter(F.col("file_id") % 31 == 0).select("file_id", F.lit(None).cast("bigint").alias("size_bytes"), F.concat(F.lit("bad/"), "file_path").alias("file_path"), "source_root", "mtime", F.lit(None).cast("boolean").alias("deleted"))
+    steps = [
+        first.filter(F.col("file_id") % 11 != 0).unionByName(gone.withColumn("deleted", F.lit(False))).unionByName(unusable),
+        first.filter(old | (F.col("file_id") % 11 == 0)).withColumn("size_bytes", F.col("size_bytes") - old.cast("int")),
+        gone.withColumn("deleted", F.lit(True)),
+    ]
+    table = StateTable(v.spark, f"{root}/state")
+    for step in steps:
+        step.write.mode("append").parquet(f"{root}/landed")
+        stream = v.spark.readStream.schema(step.schema).parquet(f"{root}/landed")
+        ingest_listing(stream, v.inputs, table, f"{root}/checkpoint", AS_OF_YEAR, SCAN_TS, errors_to=f"{root}/errors").awaitTermination()
+    return table.load().select("data.*")
+
+
 def stream_ingest(v):
     """CSV landed in several files -> stream -> state, read back."""
     root = scratch_dir(v.spark, "stream")
@@ -140,8 +211,13 @@ def state_upsert_join(v):
 
 def errors_table(v):
     """Unusable listing rows and files whose detail reply is corrupt."""
-    broken = inventory.listing_errors(v.raw_listing, SCAN_TS)
-    return broken.unionByName(E.detail_errors(_named(v), v.search, v.broken_details, SCAN_TS))
+    broken, named = inventory.listing_errors(v.raw_listing, SCAN_TS), _named(v)
+    return broken.unionByName(E.detail_errors(named, E.lookup_of(named, v.search, v.broken_details), SCAN_TS))
+
+
+def row_errors(v):
+    """Track attributes that are no number or out of range, as error rows."""
+    return track_errors.attribute_errors(_named(v), v.tracks, "file_id", SCAN_TS)
 
 
 def run_stats(v):
@@ -202,8 +278,14 @@ def ref_details_parse(v):
     )
 
 
+def ref_details_odd(v):
+    """Replies with fields of odd types: each costs its own column."""
+    return E.parse_details(v.broken_details).filter(E.is_usable_reply()).select("endpoint", "language", "id", *E.detail_columns())
+
+
 def enrich_details(v):
-    return E.enrich(_named(v), v.search, v.broken_details).select("file_path", *E.TMDB_COLUMNS)
+    named = _named(v)
+    return E.enrich(named, E.lookup_of(named, v.search, v.broken_details)).select("file_path", *E.TMDB_COLUMNS)
 
 
 # --- state ------------------------------------------------------------------------------
@@ -222,12 +304,49 @@ def incremental_catalog(v):
     })
     table = StateTable(v.spark, scratch_dir(v.spark, "incremental"))
     table.write_full(incremental_run(v.inputs.of(before), table.load(), AS_OF_YEAR, SCAN_TS, enrich=False).state, "run-1")
-    run = incremental_run(v.inputs, table.load(), AS_OF_YEAR, "2026-02-02T00:00:00", enrich=False)
+    run = incremental_run(v.inputs, table.load(), AS_OF_YEAR, LATER_TS, enrich=False)
     return run.catalog.select(
         "file_path", "size_bytes", "scanned_at_ts", "media_type", "audio_count", "quality_score", "processing_error"
     )
 
 
+def incremental_enriched(v):
+    """Two whole runs with titles over the whole row: what has got its details is kept, the rest is redone."""
+    moved, changed = F.col("file_id") % 11 == 0, F.col("file_id") % 7 == 0
+    before = v.files.withColumns({
+        "file_path": F.when(moved, F.concat(F.lit("gone/"), "file_path")).otherwise(F.col("file_path")),
+        "size_bytes": F.col("size_bytes") + changed.cast("int"),
+    })
+    table = StateTable(v.spark, scratch_dir(v.spark, "incremental-enriched"))
+    save_run(incremental_run(v.inputs.of(before), table.load(), AS_OF_YEAR, SCAN_TS), table, "run-1", SCAN_TS)
+    return incremental_run(v.inputs, table.load(), AS_OF_YEAR, LATER_TS).catalog
+
+
+def run_stats_written(v):
+    """The statistics that a second run's own writes have counted, as they stand in the JSON file."""
+    root = scratch_dir(v.spark, "statistics")
+    table = StateTable(v.spark, f"{root}/state")
+    before = v.raw_listing.withColumn("size_bytes", F.col("size_bytes") + (F.col("file_id") % 7 == 0).cast("int"))
+    save_run(incremental_run(v.inputs.of(before), table.load(), AS_OF_YEAR, SCAN_TS, enrich=False), table, "run-1", SCAN_TS)
+    run = incremental_run(v.inputs.of(v.raw_listing), table.load(), AS_OF_YEAR, LATER_TS, enrich=False)
+    save_run(run, table, "run-2", LATER_TS, f"{root}/errors", f"{root}/statistics")
+    schema = "date string, total long, size_gb double, cache struct<hits long, misses long, rate double>, errors long"
+    return v.spark.read.schema(schema).json(f"{root}/statistics").select("date", "total", "size_gb", "cache.*", "errors")
+
+
+def export_changed(v):
+    """A whole export, then a run that touches some media types: only these are written anew."""
+    path = scratch_dir(v.spark, "export-changed")
+    photo = F.col("file_path").rlike(r"(?i)\.jpg$")
+    before = v.files.withColumn("size_bytes", F.col("size_bytes") + photo.cast("int"))
+    table = StateTable(v.spark, scratch_dir(v.spark, "export-state"))
+    save_run(incremental_run(v.inputs.of(before), table.load(), AS_OF_YEAR, SCAN_TS, enrich=False), table, "run-1", SCAN_TS)
+    write_catalog_parquet(table.load().select("data.*"), path)
+    run = incremental_run(v.inputs, table.load(), AS_OF_YEAR, LATER_TS, enrich=False)
+    write_changed_parquet(run.catalog, run.touched, path)
+    return v.spark.read.parquet(path).select("file_path", "size_bytes", "scanned_at_ts", "media_type", "quality_score")
+
+
 # --- reports -------------------------------------------------------------------------------
 def export_parquet(v):
     path = scratch_dir(v.spark, "export")
@@ -254,15 +373,23 @@ _QUERIES = {
     "image_metadata": image_metadata,
     "ref_search_explode": lambda v: v.search,
     "ref_details_parse": ref_details_parse,
+    "ref_details_odd": ref_details_odd,
     "state_load": state_load,
     "stream_ingest": stream_ingest,
+    "stream_catalog": stream_catalog,
+    "stream_dead_letters": stream_dead_letters,
+    "stream_listing": stream_listing,
     # sinks
     "csv_roundtrip": csv_roundtrip,
     "sanitize_newlines": sanitize_newlines,
     "state_upsert": state_upsert,
     "state_upsert_join": state_upsert_join,
+    "csv_catalog": csv_catalog,
+    "state_compaction": state_compaction,
     "errors_table": errors_table,
+    "row_errors": row_errors,
     "run_stats": run_stats,
+    "run_stats_written": run_stats_written,
     # names
     "path_parts": lambda v: v.files.select(
         "file_path", N.filename(_path()).alias("filename"), N.folder_name(_path()).alias("folder_name"),
@@ -314,8 +441,10 @@ _QUERIES = {
     "enrich_details": enrich_details,
     # state
     "state_lookup": lambda v: state_ops.lookup(inventory.file_inventory(v.files), v.state).select("file_path", "hit", "reuse"),
+    "state_table_lookup": state_table_lookup,
     "incremental_split": incremental_split,
     "incremental_catalog": incremental_catalog,
+    "incremental_enriched": incremental_enriched,
     "state_prune": lambda v: state_ops.prune(v.state, v.files).select("file_path", "size_bytes", "tmdb_enriched"),
     "state_deleted": lambda v: state_ops.deleted(v.state, v.files),
     # whole catalogue
@@ -324,6 +453,7 @@ _QUERIES = {
     "quality_breakdown": lambda v: reports.quality_breakdown(_catalog(v, enrich=False)),
     "language_coverage": lambda v: reports.language_coverage(_catalog(v, enrich=False)),
     "export_parquet": export_parquet,
+    "export_changed": export_changed,
 }
 
 

@@ -13,6 +13,7 @@ from reelshelf.sources.tables import conform
 
 AS_OF_YEAR = 2026
 SCAN_TS = "2026-01-01T00:00:00"
+LATER_TS = "2026-02-02T00:00:00"
 
 MEDIA_FILES = """
 SELECT o_orderkey AS file_id,
@@ -57,9 +58,9 @@ SELECT l_orderkey AS file_id,
   CASE WHEN l_partkey % 13 = 0 THEN 'n/a' WHEN l_partkey % 29 = 0 THEN '0' ELSE CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) * 10 + 5 AS VARCHAR(20)) END AS bit_rate,
   CASE WHEN l_partkey % 7 = 3 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) * 1000 AS VARCHAR(20)) WHEN l_partkey % 7 = 4 THEN '0' END AS bit_rate_maximum,
   CASE WHEN l_partkey % 9 = 2 THEN CAST(CAST(floor(l_extendedprice) AS BIGINT) AS VARCHAR(20)) || '.5' END AS source_duration,
-  CASE CAST(l_partkey % 5 AS INT) WHEN 0 THEN '3840' WHEN 1 THEN '1920' WHEN 2 THEN '1280' WHEN 3 THEN '8.0' END AS width,
+  CASE WHEN l_partkey % 211 = 17 THEN '99999999999' ELSE CASE CAST(l_partkey % 5 AS INT) WHEN 0 THEN '3840' WHEN 1 THEN '1920' WHEN 2 THEN '1280' WHEN 3 THEN '8.0' END END AS width,
   CASE CAST(l_partkey % 5 AS INT) WHEN 0 THEN '2160' WHEN 1 THEN '1080' WHEN 2 THEN '720' WHEN 3 THEN '480' END AS height,
-  CASE WHEN l_partkey % 2 = 0 THEN '10' ELSE '8' END AS bit_depth,
+  CASE WHEN l_partkey % 422 = 17 THEN '-2147483649' WHEN l_partkey % 2 = 0 THEN '10' ELSE '8' END AS bit_depth,
   CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN '23.976' WHEN 1 THEN '25.000' WHEN 2 THEN 'variable' END AS frame_rate,
   'Main@L' || CAST(l_suppkey % 5 AS VARCHAR(5)) AS format_profile,
   CASE WHEN l_suppkey % 3 = 0 THEN 'x265 ' || CAST(l_suppkey % 7 AS VARCHAR(5)) END AS writing_library,
@@ -140,9 +141,17 @@ SELECT endpoint, CASE WHEN id % 7 = 4 THEN 'xx-XX' ELSE language END AS language
   ',"production_countries":[{"iso_3166_1":"PL"},{"iso_3166_1":"US"}]}' AS json
 FROM ref_search
 """
-# Some replies cut off in the middle.
+# Some replies cut off in the middle, some with a field of an odd type.
 BROKEN_DETAILS = """
-SELECT endpoint, language, id, CASE WHEN id % 13 = 5 THEN substr(json, 1, 40) ELSE json END AS json FROM ref_details
+SELECT endpoint, language, id, CASE WHEN id % 13 = 5 THEN substr(json, 1, 40)
+  WHEN id % 17 = 3 THEN replace(json, '"runtime":', '"runtime":45.5,"minutes":')
+  WHEN id % 17 = 4 THEN replace(json, '"vote_count":', '"vote_count":3000000000,"votes":')
+  WHEN id % 17 = 5 THEN replace(json, '"genres":', '"genres":"Drama","tags":')
+  WHEN id % 17 = 6 THEN replace(json, '"vote_average":', '"vote_average":"7.5 of 10","average":')
+  WHEN id % 17 = 7 THEN replace(json, '"title":"', '"title":45,"heading":"')
+  WHEN id % 17 = 8 THEN replace(json, '"runtime":', '"runtime":"88","minutes":')
+  WHEN id % 17 = 9 THEN replace(json, '"episode_run_time":', '"episode_run_time":50,"run_times":')
+  ELSE json END AS json FROM ref_details
 """
 
 IMAGES = """
@@ -162,7 +171,7 @@ FROM media_files
 
 # A raw listing as text: some sizes are no numbers, some rows have no time.
 RAW_LISTING = """
-SELECT file_path, source_root,
+SELECT file_id, file_path, source_root,
   CASE WHEN file_id % 37 = 0 THEN 'n/a' WHEN file_id % 41 = 0 THEN '-1' ELSE CAST(size_bytes AS VARCHAR(20)) END AS size_text,
   CASE WHEN file_id % 43 = 0 THEN NULL ELSE mtime END AS mtime
 FROM media_files
@@ -241,7 +250,7 @@ class Views:
     def raw_listing(self) -> DataFrame:
         listing = self._sql(RAW_LISTING, media_files=self.files)
         return listing.select(
-            "file_path", "source_root", F.col("size_text").try_cast("bigint").alias("size_bytes"), "mtime"
+            "file_id", "file_path", "source_root", F.col("size_text").try_cast("bigint").alias("size_bytes"), "mtime"
         )
 
     @property
