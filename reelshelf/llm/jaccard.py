@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelshelf.llm.components import components
-from reelshelf.llm.runtime import landed, python_ready
+from reelshelf.llm.runtime import Landing, landed, python_ready
 from reelshelf.llm.shingles import mixed, shingle_sets, slices
 
 #: Similarity of 80 %: 5 * overlap >= 4 * union.
@@ -51,24 +51,18 @@ def _set_hashes(shingles: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mixed(out + count.astype(np.uint64))
 
 
-def _signatures(batches):
-    for batch in (part for whole in batches for part in slices(whole)):
-        shingles, begins = shingle_sets(batch.column("text"))
-        count = np.diff(begins)
-        other = _set_hashes(mixed(shingles), begins)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(count), pa.array(_set_hashes(shingles, begins).view(np.int64)), pa.array(other.view(np.int64))],
-            names=["id", "n", "sig", "sig2"],
-        )
+_ROWS = "kind string, token long, id long, sig long, sig2 long, n int"
 
 
-def _prefixes(frequent: np.ndarray):
+def _set_rows(frequent: np.ndarray):
+    """One pass over the texts: of each text a row of kind set (size and two hashes of its set), and its index entries."""
     def rows(batches):
         for batch in (part for whole in batches for part in slices(whole)):
             shingles, begins = shingle_sets(batch.column("text"))
             count = np.diff(begins)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            same = _set_hashes(shingles, begins)
+            same, other = _set_hashes(shingles, begins), _set_hashes(mixed(shingles), begins)
+            yield _row_batch("set", np.zeros(len(ids), np.uint64), ids, same, other, count)
             order = np.lexsort((ids, same))
             chosen = np.zeros(len(count), bool)
             chosen[order[np.append(True, same[order][1:] != same[order][:-1])[: len(order)]]] = True  # of equal sets in a batch the smallest id
@@ -81,14 +75,17 @@ def _prefixes(frequent: np.ndarray):
             rank = np.arange(len(text)) - begins[text]
             keep = (rank < count[text] // 4 + 1) & chosen[text]
             token, text = shingles[order][keep], text[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token.view(np.int64)), pa.array(ids[text]), pa.array(same[text].view(np.int64)), pa.array(count[text].astype(np.int32))],
-                names=["token", "id", "sig", "n"],
-            )
+            yield _row_batch("entry", token, ids[text], same[text], np.zeros(len(text), np.uint64), count[text])
 
     return rows
 
 
+def _row_batch(kind: str, token, ids, sig, sig2, n) -> pa.RecordBatch:
+    kinds = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(ids), np.int8)), pa.array([kind])).cast(pa.string())
+    columns = [kinds, pa.array(token.view(np.int64)), pa.array(ids), pa.array(sig.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _ROWS.split(", ")])
+
+
 def _tokens(batches):
     for batch in (part for whole in batches for part in slices(whole)):
         shingles, _ = shingle_sets(batch.column("text"))
@@ -131,15 +128,18 @@ def _like_sizes(a: Column, b: Column) -> Column:
     return (5 * a >= 4 * b) & (5 * b >= 4 * a)
 
 
-def _narrowed(index: DataFrame) -> DataFrame:
+def _narrowed(index: DataFrame, land: Landing) -> DataFrame:
     """Entries that more than one text has, of texts with enough of them; least is an entry's smallest id.
 
     What is shared is landed first: then both sides of the join are plain shuffles, of which Spark splits a hot token's.
     """
-    shared = index.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
-    found = landed(index.join(landed(shared.select("token", "least"), "shared-tokens"), "token"), "shared-index")
+    least = index.groupBy("token").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least != most")
+    shared = land(least.select("token", "least"), "shared-tokens")
+    found = land(index.join(shared, "token"), "shared-index")
     likely = found.groupBy("id", "n").count().filter(F.col("count") >= _least_shared(F.col("n"))).select("id").distinct()
-    return found.join(likely, "id", "left_semi")
+    entries = land(found.join(likely, "id", "left_semi"), "index")
+    land.drop(shared, found)
+    return entries
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
@@ -153,28 +153,31 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     python_ready(spark)
     kind = docs.schema["doc_id"].dataType
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), "text")
-    signed = landed(texts.mapInArrow(_signatures, "id long, n long, sig long, sig2 long"), "set-signatures")
+    land = Landing(spark)
+    rows = land(texts.mapInArrow(_set_rows(_frequent(texts)), _ROWS), "sets-and-entries")
+    signed = land(rows.filter("kind = 'set'").select("id", F.col("n").cast("long").alias("n"), "sig", "sig2"), "set-signatures")
 
     # equal sets: everyone hangs on the smallest id; a side that is landed first lets Spark split a hot set's rows
     first = signed.filter("n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("b"), F.count("*").alias("k")).filter("k > 1")
-    equal = signed.filter("n > 0").join(landed(first, "repeated-sets"), ["sig", "sig2"]).filter("id != b")
-    equal = landed(equal.select(F.col("id").alias("a"), "b", "sig").distinct(), "equal-sets")
+    equal = signed.filter("n > 0").join(land(first, "repeated-sets"), ["sig", "sig2"]).filter("id != b")
+    equal = land(equal.select(F.col("id").alias("a"), "b", "sig").distinct(), "equal-sets")
 
-    index = texts.mapInArrow(_prefixes(_frequent(texts)), "token long, id long, sig long, n int")
-    entries = landed(_narrowed(index), "index").drop("least")
+    index = rows.filter("kind = 'entry'").select("token", "id", "sig", "n")
+    once = _narrowed(index, land)
     # once more, without equal sets and what has gone with the first pass; an id's other texts stay
     copies = equal.select(F.col("a").alias("id"), "sig")
-    entries = landed(_narrowed(entries.join(copies, ["id", "sig"], "left_anti").drop("sig")), "index")
+    entries = _narrowed(once.drop("least").join(copies, ["id", "sig"], "left_anti").drop("sig"), land)
+    land.drop(rows, once)
     needed_sizes = entries.groupBy("id").agg(F.max("n").alias("n"))
     needed = needed_sizes.select("id")
-    sets = landed(texts.join(needed, "id").mapInArrow(_sets, "id long, tokens array<long>"), "token-sets")
+    sets = land(texts.join(needed, "id").mapInArrow(_sets, "id long, tokens array<long>"), "token-sets")
 
     # round 1: each text and the one of the least ids with which it shares most entries
     votes = entries.filter("id != least").groupBy("id", "n", "least").count().filter(F.col("count") >= _least_shared(F.col("n")))
     best = votes.groupBy("id").agg(F.max(F.struct("count", -F.col("least"))).alias("best"))
     best = best.select(F.col("id").alias("a"), (-F.col("best").getField("col2")).alias("b"))
-    near = landed(_linked(best, sets), "near-links")
-    groups = landed(components(near), "near-groups") if near.limit(1).count() else near.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    near = land(_linked(best, sets), "near-links")
+    groups = land(components(near), "near-groups") if near.limit(1).count() else near.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
     # round 2: the matrix of index entries and blocks of groups
     weight = needed_sizes.withColumnRenamed("id", "node")
@@ -186,7 +189,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         "token", "id", "n", F.coalesce("group", "id").alias("group"), F.coalesce("texts", F.lit(1)).alias("texts"), F.coalesce("blocks", F.lit(1)).alias("blocks"),
     )
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    placed = landed(placed.withColumn("block", block).drop("blocks"), "matrix")
+    placed = land(placed.withColumn("block", block).drop("blocks"), "matrix")
     cells = placed.groupBy("token", F.col("group").alias("other"), F.col("block").alias("other_block")).agg(
         F.min("n").alias("n_min"), F.max("n").alias("n_max"), F.first("texts").alias("other_texts")
     )
@@ -194,7 +197,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     asks = F.struct("texts", "group") < F.struct(F.col("other_texts").alias("texts"), F.col("other").alias("group"))
     fits = (5 * F.col("n") >= 4 * F.col("n_min")) & (5 * F.col("n_max") >= 4 * F.col("n"))
     asked = placed.join(cells, "token").filter(asks & fits).groupBy("id", "n", "other", "other_block").agg(F.count("*").alias("common"))
-    asked = landed(asked.filter(F.col("common") >= _least_shared(F.col("n"))).select("id", "other", "other_block"), "asked")
+    asked = land(asked.filter(F.col("common") >= _least_shared(F.col("n"))).select("id", "other", "other_block"), "asked")
 
     blocks = asked.select("other", "other_block").distinct()
     inside = placed.select("id", "n", F.col("group").alias("other"), F.col("block").alias("other_block")).distinct()
@@ -205,14 +208,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     n, most = F.size("tokens"), F.size(F.array_intersect("tokens", "union"))
     # a text of n shingles needs 4/9 of n and the other's size, and 4/5 of its own size, in common
     open_blocks = asked.join(sets, "id").join(unions, ["other", "other_block"]).filter((5 * most >= 4 * n) & (9 * most >= 4 * (n + F.col("n_min"))))
-    opened = landed(open_blocks.select("id", "other", "other_block"), "open-blocks")
+    opened = land(open_blocks.select("id", "other", "other_block"), "open-blocks")
     ask = placed.join(opened, "id").select("token", F.col("id").alias("a"), F.col("n").alias("na"), "other", "other_block")
     within = placed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("group").alias("other"), F.col("block").alias("other_block"))
     pairs = ask.join(within, ["token", "other", "other_block"]).filter(_like_sizes(F.col("na"), F.col("nb"))).select("a", "b").distinct()
     far = _linked(pairs, sets)
 
-    links = landed(equal.select("a", "b").union(near).union(far), "all-links")
+    links = land(equal.select("a", "b").union(near).union(far), "all-links")
     found = components(links)
+    signed = landed(signed.select("id", "n"), "set-sizes")
+    land.drop()
     joined = signed.join(found, signed.id == found.node, "left")
     show = lambda c: F.when(c != _NULL_ID, c).cast(kind)
     return joined.select(show(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), show(F.coalesce("component", "id")).alias("component_id"))

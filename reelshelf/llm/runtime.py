@@ -37,12 +37,40 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def landed_at(df: DataFrame, path: str, by: Sequence[str] = ()) -> DataFrame:
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def landed(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """The rows written once to the shared folder (in folders by some columns) and read back: a cut of the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return landed_at(df, fresh_path(df.sparkSession, name), by)
+
+
+class Landing:
+    """Lands tables as ``landed`` does, and takes away those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        table = landed_at(df, path, by)
+        self.tables.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of these tables; without any, of all."""
+        gone = [(t, path) for t, path in self.tables if not tables or any(t is x for x in tables)]
+        self.tables = [x for x in self.tables if not any(x[0] is t for t, _ in gone)]
+        for _, name in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value, body):
