@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelshelf.functions import fixed_values as V
+from reelshelf.operators.report_partials import LANGUAGE_FLAGS, QUALITY_FLAGS, bit_rate_bands
 
 
 def catalog_summary(catalog: DataFrame) -> DataFrame:
@@ -22,16 +22,11 @@ def quality_breakdown(catalog: DataFrame) -> DataFrame:
     The exact percentile keeps one counter per distinct score; the score has at
     most 21 values, so its buffer doesn't grow with the data.
     """
-    rate = F.col("overall_bitrate_kbps")
-    (top, _), (high, _), (mid, _) = V.SCORE_BITRATES
-    flags = ["is_4k", "has_hdr", "has_dolby_vision", "has_atmos", "has_dts_x", "has_lossless_audio"]
+    bands = bit_rate_bands(F.col("overall_bitrate_kbps"))
     return catalog.groupBy("media_type").agg(
         F.count("*").alias("files"),
-        *[F.sum(f).alias(f"{f}_files") for f in flags],
-        F.count_if(rate > top).alias("rate_over_50_mbps"),
-        F.count_if((rate > high) & (rate <= top)).alias("rate_20_to_50_mbps"),
-        F.count_if((rate > mid) & (rate <= high)).alias("rate_10_to_20_mbps"),
-        F.count_if(rate <= mid).alias("rate_up_to_10_mbps"),
+        *[F.sum(f).alias(f"{f}_files") for f in QUALITY_FLAGS],
+        *[F.count_if(c).alias(name) for name, c in bands.items()],
         F.count("quality_score").alias("scored_files"),
         F.avg("quality_score").alias("avg_score"),
         F.max("quality_score").alias("max_score"),
@@ -44,15 +39,12 @@ def language_coverage(catalog: DataFrame) -> DataFrame:
 
     Sums the 14 flags first and unpivots the few result rows.
     """
-    flags = [
-        (code, kind, f"has_{word}_{kind}") for code, word, _, _ in V.LANGUAGE_RULES for kind in ("audio", "subtitles")
-    ]
     sums = catalog.groupBy("media_type").agg(
-        F.count("*").alias("files"), *[F.sum(flag).alias(flag) for _, _, flag in flags]
+        F.count("*").alias("files"), *[F.sum(flag).alias(flag) for _, _, flag in LANGUAGE_FLAGS]
     )
     entries = F.array(*[
         F.struct(F.lit(code).alias("language"), F.lit(kind).alias("kind"), F.col(flag).alias("covered"))
-        for code, kind, flag in flags
+        for code, kind, flag in LANGUAGE_FLAGS
     ])
     return sums.select("media_type", "files", F.explode(entries).alias("e")).select(
         "media_type", "e.language", "e.kind", "files", F.col("e.covered").alias("covered_files")

@@ -82,10 +82,13 @@ class StateTable:
     def _path(self, generation: dict) -> str:
         return f"{self.folder}/{generation['name']}"
 
+    def _table(self, name: str) -> str:
+        """The catalogue's name of a full generation."""
+        return f"state_{hashlib.md5(f'{self.folder}/{name}'.encode()).hexdigest()}"
+
     def _bucketed(self, generation: dict) -> DataFrame:
         """A full generation as a table, which tells Spark the layout of its files."""
-        path = self._path(generation)
-        name = f"state_{hashlib.md5(path.encode()).hexdigest()}"
+        path, name = self._path(generation), self._table(generation["name"])
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet "
@@ -132,7 +135,7 @@ class StateTable:
         count = F.count(F.lit(1)).alias("rows")
         if kind == "full":
             generation["buckets"] = pointer["buckets"] or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            name = f"state_{hashlib.md5(self._path(generation).encode()).hexdigest()}"
+            name = self._table(generation["name"])
             dealt = df.select(*self.schema.names).repartition(generation["buckets"], "file_path").observe(seen, count, *metrics)
             dealt.write.bucketBy(generation["buckets"], "file_path").sortBy("file_path").option("path", self._path(generation)).saveAsTable(name)
         else:
@@ -205,5 +208,8 @@ class StateTable:
         pointer = self.pointer()
         kept = {g["name"] for g in pointer["generations"]} | {f"current-{pointer['number']:08d}.json"}
         fs, folder = self._fs(self.folder)
-        gone = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName() not in kept] if fs.exists(folder) else []
+        found = [status.getPath() for status in fs.listStatus(folder)] if fs.exists(folder) else []
+        gone = [path for path in found if path.getName() not in kept]
+        for path in gone:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(path.getName())}")
         return sum(bool(fs.delete(path, True)) for path in gone)

@@ -364,6 +364,12 @@ def build():
         "state_compaction": """SELECT file_path, size_bytes + 5 AS size_bytes, 1 AS tmdb_enriched FROM media_files WHERE NOT (file_id % 10 < 3 AND file_id % 3 = 1)
   UNION ALL SELECT file_path, size_bytes, tmdb_enriched FROM state WHERE file_path NOT IN (SELECT file_path FROM media_files)""",
         "state_table_lookup": lookup,
+        "listing_changes": """SELECT 1 AS step, file_path, size_bytes, CAST(NULL AS BOOLEAN) AS deleted FROM media_files WHERE file_id % 11 = 0 OR file_id % 7 = 0
+  UNION ALL SELECT 1, 'gone/' || file_path, NULL, true FROM media_files WHERE file_id % 11 = 0""",
+        "table_readers": """SELECT 'images' AS source, count(*) AS rows, CAST(sum(width + height) AS VARCHAR) AS total FROM images
+  UNION ALL SELECT 'tracks', count(*), CAST(sum(CAST(track_order AS HUGEINT)) AS VARCHAR) FROM media_tracks
+  UNION ALL SELECT 'search', count(*), CAST(sum(rank * id) AS VARCHAR) FROM ref_search
+  UNION ALL SELECT 'details', count(*), CAST(sum(length(json)) AS VARCHAR) FROM ref_details""",
         "row_errors": f"SELECT * EXCLUDE (file_id) FROM ({attribute_errors}) q",
         "run_stats_written": f"""SELECT '{W.LATER_TS}' AS date, count(*) AS total, {gb} AS size_gb, count(*) FILTER (WHERE file_id % 7 <> 0) AS hits, count(*) FILTER (WHERE file_id % 7 = 0) AS misses,
   {_round('count(*) FILTER (WHERE file_id % 7 <> 0) / count(*)::DOUBLE * 100', 1)} AS rate,
@@ -439,4 +445,5 @@ def build():
         ) + ") q",
         "export_parquet": "SELECT media_type, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM catalog GROUP BY media_type",
     }
+    sql |= {"summary_kept": sql["catalog_summary"], "quality_kept": sql["quality_breakdown"], "coverage_kept": sql["language_coverage"]}
     return {name: _with(text) for name, text in sql.items()}

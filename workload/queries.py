@@ -4,11 +4,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from reelshelf import schemas
 from reelshelf.functions import attributes as A
 from reelshelf.functions import names as N
 from reelshelf.functions.numbers import exact_round, parse_float, safe_int, thousandth
 from reelshelf.operators import enrichment as E
-from reelshelf.operators import images, inventory, reports, sanitize, state_ops, track_errors
+from reelshelf.operators import images, inventory, report_partials, reports, sanitize, state_ops, track_errors
 from reelshelf.operators.track_fold import (
     AUDIO_FLAGS, AUDIO_LISTS, GENERAL_LAST, GENERAL_LAST_NUMBER, GENERAL_LAST_TRUTHY, TEXT_FLAGS,
     TEXT_LISTS, VIDEO_LAST, VIDEO_LAST_NUMBER, VIDEO_LAST_TRUTHY, fold_tracks,
@@ -16,9 +17,11 @@ from reelshelf.operators.track_fold import (
 from reelshelf.plans.catalog import build_catalog
 from reelshelf.plans.incremental import incremental_run, save_run
 from reelshelf.session import configure, scratch_dir
+from reelshelf.sources import listing, tables
 from reelshelf.sources.catalog_csv import read_catalog_csv, read_catalog_stream, write_catalog_csv
 from reelshelf.sources.exports import write_catalog_parquet, write_changed_parquet
 from reelshelf.sources.state_table import StateTable
+from reelshelf.sources.tables import conform
 from reelshelf.streaming.ingest import ingest_catalog, ingest_listing
 from workload.views import AS_OF_YEAR, LATER_TS, SCAN_TS, Views
 
@@ -356,6 +359,63 @@ def export_parquet(v):
     )
 
 
+def _kept_reports(v):
+    """Partials after three runs: each adds what it wrote and takes away what it replaced."""
+    root = scratch_dir(v.spark, "reports")
+    table = StateTable(v.spark, f"{root}/state")
+    id_ = F.col("file_id")
+    listings = [
+        v.files.filter(id_ % 5 != 0).withColumn("size_bytes", F.col("size_bytes") + 1),
+        v.files.filter(id_ % 4 != 0).withColumn("size_bytes", F.col("size_bytes") + (id_ % 3 == 0).cast("int")),
+        v.files,
+    ]
+    for i, files in enumerate(listings):
+        run = incremental_run(v.inputs.of(files), table.load(), AS_OF_YEAR, SCAN_TS, enrich=False)
+        report_partials.change_of(run.processed.select("data.*"), run.replaced.select("data.*")).write.parquet(f"{root}/partials/run={i}")
+        save_run(run, table, f"run-{i}", SCAN_TS)
+    return report_partials.merged(v.spark.read.parquet(f"{root}/partials").drop("run"))
+
+
+def listing_changes(v):
+    """A stored listing against the present one: what is new, changed and gone; nothing once it is brought up to date."""
+    moved, changed = F.col("file_id") % 11 == 0, F.col("file_id") % 7 == 0
+    now = conform(v.files, schemas.FILES)
+    before = conform(v.files.withColumns({
+        "file_path": F.when(moved, F.concat(F.lit("gone/"), "file_path")).otherwise(F.col("file_path")),
+        "size_bytes": F.col("size_bytes") + changed.cast("int"),
+    }), schemas.FILES)
+    snapshot = StateTable(v.spark, scratch_dir(v.spark, "listing-changes"), schema=schemas.FILES)
+    listing.keep_listing(listing.landed_changes(before, snapshot), snapshot, 0)
+    snapshot.compact(fold=True)
+    first = listing.landed_changes(now, snapshot)
+    listing.keep_listing(first, snapshot, 1)
+    second = listing.listing_changes(now, snapshot)
+    return first.select(F.lit(1).alias("step"), "file_path", "size_bytes", "deleted").unionByName(
+        second.select(F.lit(2).alias("step"), "file_path", "size_bytes", "deleted"))
+
+
+def table_readers(v):
+    """Images, tracks, search replies and details written as a user would land them, and read by the library's readers."""
+    root = scratch_dir(v.spark, "readers")
+    key = F.concat(F.lit("f"), F.col("file_id").cast("string")).alias("file_path")
+    v.images.select(key, "width", "height", "exif").write.parquet(f"{root}/images")
+    v.tracks.select(key, *[c for c in v.tracks.columns if c != "file_id"]).write.json(f"{root}/tracks")
+    v.search_replies.write.json(f"{root}/search")
+    v.details.write.parquet(f"{root}/details")
+    pictures = tables.read_images(v.spark, f"{root}/images")
+    tracks = tables.read_tracks(v.spark, f"{root}/tracks", "json")
+    search = tables.read_search(v.spark, f"{root}/search")
+    details = tables.read_details(v.spark, f"{root}/details")
+    facts = [
+        ("images", F.count("*"), F.sum(F.col("width") + F.col("height")), pictures),
+        ("tracks", F.count("*"), F.sum("track_order"), tracks),
+        ("search", F.count("*"), F.sum(F.col("rank") * F.col("id")), search),
+        ("details", F.count("*"), F.sum(F.length("json")), details),
+    ]
+    rows = [df.agg(n.alias("rows"), total.cast("decimal(38,0)").cast("string").alias("total")).select(F.lit(name).alias("source"), "rows", "total") for name, n, total, df in facts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def _fold_columns(*names):
     return lambda v: _fold(v).select("file_id", *names)
 
@@ -369,7 +429,9 @@ _QUERIES = {
     "file_inventory": lambda v: inventory.file_inventory(v.files.unionAll(v.files)).select(
         "file_path", "source_root", "size_bytes", N.iso_timestamp(F.col("mtime")).alias("mtime")),
     "filter_extensions": lambda v: inventory.filter_extensions(v.files).select("file_path"),
+    "listing_changes": listing_changes,
     "read_tracks": read_tracks,
+    "table_readers": table_readers,
     "image_metadata": image_metadata,
     "ref_search_explode": lambda v: v.search,
     "ref_details_parse": ref_details_parse,
@@ -452,6 +514,9 @@ _QUERIES = {
     "catalog_summary": lambda v: reports.catalog_summary(_named(v)),
     "quality_breakdown": lambda v: reports.quality_breakdown(_catalog(v, enrich=False)),
     "language_coverage": lambda v: reports.language_coverage(_catalog(v, enrich=False)),
+    "summary_kept": lambda v: report_partials.summary(_kept_reports(v)),
+    "quality_kept": lambda v: report_partials.quality(_kept_reports(v)),
+    "coverage_kept": lambda v: report_partials.coverage(_kept_reports(v)),
     "export_parquet": export_parquet,
     "export_changed": export_changed,
 }
