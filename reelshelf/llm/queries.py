@@ -64,7 +64,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bytes of text in a shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

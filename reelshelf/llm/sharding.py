@@ -37,28 +37,49 @@ def directory(sizes: DataFrame, limit: int) -> DataFrame:
     sizes: h, bytes. A bucket whose rows all have one hash can't be split and is a shard whatever its size.
     """
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    depth = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + MORE_BITS)
-    low, found, rest = 0, None, sizes
+    expected = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))))
+    depth = min(BITS, expected + MORE_BITS)
+    above, low, found, rest = 0, max(0, expected - MORE_BITS), None, sizes
     while True:
-        leaves = rest.groupBy(_leading(F.col("h"), F.lit(depth)).alias("leaf")).agg(
+        leaves = rest.groupBy(_leading(F.col("h"), F.lit(depth)).alias("bucket")).agg(
             F.sum("bytes").alias("bytes"), F.count("*").alias("docs"), F.min("h").alias("first"), F.max("h").alias("last")
         )
         leaves = landed(leaves, "leaves")
-        each = leaves.withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(depth))))
-        each = each.withColumn("bucket", F.call_function("shiftright", F.col("leaf"), F.lit(depth) - F.col("depth")))
-        buckets = each.groupBy("depth", "bucket").agg(
-            F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs"), (F.min("first") == F.max("last")).alias("one")
-        ).filter((F.col("shard_bytes") <= limit) | F.col("one") | (F.col("depth") == BITS))
-        best = each.select("leaf", "depth", "bucket").join(buckets, ["depth", "bucket"]).groupBy("leaf").agg(
-            F.min_by(F.struct("depth", "bucket", "shard_bytes", "shard_docs"), "depth").alias("b")
-        )
+        best = _least_depth(leaves, depth, low, limit)
+        if above < low:
+            # leaves are looked at in the depths around the expected one; the few buckets above these stand for all their leaves
+            tops = _summed(leaves.withColumn("bucket", _up("bucket", depth - low)).withColumn("depth", F.lit(low)), "bucket").drop("depth")
+            higher = _least_depth(landed(tops, "leaves"), low, above, limit).filter(F.col("b.depth") < low).select(F.col("leaf").alias("top"), F.col("b").alias("a"))
+            best = leaves.select(F.col("bucket").alias("leaf")).join(best, "leaf", "left").join(higher, _up("leaf", depth - low) == F.col("top"), "left")
+            best = best.select("leaf", F.coalesce("a", "b").alias("b")).filter("b IS NOT NULL")
         placed = landed(best.select(F.lit(depth).alias("leaf_depth"), "leaf", "b.*"), "directory")
         found = placed if found is None else found.union(placed)
-        open_leaves = landed(leaves.select("leaf").join(placed, "leaf", "left_anti"), "open-leaves")
+        open_leaves = landed(leaves.select(F.col("bucket").alias("leaf")).join(placed, "leaf", "left_anti"), "open-leaves")
         if depth == BITS or not open_leaves.limit(1).count():
             return found
         rest = rest.join(open_leaves, _leading(F.col("h"), F.lit(depth)) == F.col("leaf"), "left_semi")
-        low, depth = depth + 1, min(BITS, depth + 2 * MORE_BITS)
+        above = low = depth + 1
+        depth = min(BITS, depth + 2 * MORE_BITS)
+
+
+def _up(bucket: str, bits) -> Column:
+    """The bucket so many bits higher up."""
+    return F.call_function("shiftright", F.col(bucket), F.lit(bits) if isinstance(bits, int) else bits)
+
+
+def _summed(buckets: DataFrame, *by: str) -> DataFrame:
+    sums = [F.sum("bytes").alias("bytes"), F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last")]
+    return buckets.groupBy("depth", *by).agg(*sums)
+
+
+def _least_depth(leaves: DataFrame, depth: int, low: int, limit: int) -> DataFrame:
+    """leaf and b (depth, bucket, shard_bytes, shard_docs): of the buckets that hold it, from low to depth bits, the largest that is a shard."""
+    each = leaves.withColumnRenamed("bucket", "leaf").withColumn("depth", F.explode(F.sequence(F.lit(low), F.lit(depth))))
+    each = each.withColumn("bucket", _up("leaf", F.lit(depth) - F.col("depth")))
+    fits = (F.col("bytes") <= limit) | (F.col("first") == F.col("last")) | (F.col("depth") == BITS)
+    shards = _summed(each, "bucket").filter(fits).select("depth", "bucket", F.col("bytes").alias("shard_bytes"), F.col("docs").alias("shard_docs"))
+    joined = each.select("leaf", "depth", "bucket").join(shards, ["depth", "bucket"])
+    return joined.groupBy("leaf").agg(F.min_by(F.struct("depth", "bucket", "shard_bytes", "shard_docs"), "depth").alias("b"))
 
 
 def shard_plan(docs: DataFrame, limit: int) -> DataFrame:
