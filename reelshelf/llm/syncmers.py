@@ -61,11 +61,9 @@ def _anchors(data: np.ndarray, offsets: np.ndarray, scale: tuple[int, int]) -> t
     return text, place - offsets[text], followed(x[place] + np.uint64(k), x[place + k - s])
 
 
-def _least(data: np.ndarray, offsets: np.ndarray, scale: tuple[int, int], wanted: np.ndarray) -> list[bytes]:
-    """Of each text that is wanted its ANCHORS least anchors as (hash, place) in order of hash."""
+def _least(data: np.ndarray, offsets: np.ndarray, scale: tuple[int, int]) -> list[bytes]:
+    """Of each text its ANCHORS least anchors as (hash, place) in order of hash."""
     text, place, full = _anchors(data, offsets, scale)
-    chosen = wanted[text]
-    text, place, full = text[chosen], place[chosen], full[chosen]
     order = np.lexsort((place, full, text))
     text, place, full = text[order], place[order], full[order]
     new = np.ones(len(text), bool)
@@ -90,10 +88,13 @@ def fingerprints(column: pa.Array) -> list[bytes]:
     """
     data, offsets = text_bytes(column)
     size = np.diff(offsets)
-    long_, short = _least(data, offsets, SCALE, size > 0), _least(data, offsets, SHORT_SCALE, size < BOTH)
+    long_ = _least(data, offsets, SCALE)
+    few = size < BOTH
+    few_offsets = np.concatenate([[0], np.cumsum(size[few])])
+    short = iter(_least(data[np.repeat(few, size)], few_offsets, SHORT_SCALE))
     found = []
     for i, n in enumerate(size):
-        own = short[i]
+        own = next(short) if few[i] else b""
         if n and n < BOTH and not own:
             own = hashlib.blake2b(data[offsets[i] : offsets[i + 1]].tobytes(), digest_size=4).digest() + bytes(4)
         found.append(bytes([len(long_[i]) // _KIND.itemsize]) + long_[i] + own if n else b"")
