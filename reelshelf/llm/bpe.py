@@ -15,9 +15,11 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
+from typing import Any
 
 import pyarrow as pa
 import regex
@@ -34,6 +36,9 @@ _FIRST_STAND_IN = 0x100
 _END = 256  # added to a byte that ends a word
 _NEVER = 1 << 60
 _PIECES = regex.compile(f"[^{SPACES}]+")
+_SPACE = re.compile(f"[{SPACES}]".encode())
+#: Words above so many characters, and pieces above so many bytes, are taken in as a stream.
+LONG = 4096
 
 
 def byte_stand_ins() -> list[str]:
@@ -94,8 +99,8 @@ class Vocabulary:
             self.spans[result] = self.spans[pair[0]] + self.spans[pair[1]]
             steps.append((*pair, result))
         self.lookahead = sufficient_lookahead(steps)
-        self.trie: list[dict[int, int]] = [{}]
-        self.token_at: list[int | None] = [None]
+        #: By symbol the longer beginnings of tokens: [their own trie, the token that ends there or None].
+        self.trie: dict[int, list] = {}
         sound: dict[int, bool] = {}
         for token, span in self.spans.items():  # in rank order, so parts come first
             if token in self.parts:
@@ -104,27 +109,26 @@ class Vocabulary:
             else:
                 sound[token] = True
             if sound[token]:
-                node = 0
+                children, node = self.trie, None
                 for symbol in span:
-                    after = self.trie[node].get(symbol)
-                    if after is None:
-                        after = self.trie[node][symbol] = len(self.trie)
-                        self.trie.append({})
-                        self.token_at.append(None)
-                    node = after
-                self.token_at[node] = token
+                    node = children.get(symbol)
+                    if node is None:
+                        node = children[symbol] = [{}, None]
+                    children = node[0]
+                node[1] = token
         self.width = {token: len(span) for token, span in self.spans.items()}
         self.longest = max(self.width.values())
         #: The longest token that is the beginning of another one.
         self.shorter: dict[int, int | None] = {}
         for token, span in self.spans.items():
-            node, found = 0, None
+            children, found = self.trie, None
             for symbol in span[:-1]:
-                node = self.trie[node].get(symbol)
+                node = children.get(symbol)
                 if node is None:
                     break
-                if self.token_at[node] is not None:
-                    found = self.token_at[node]
+                children, ends = node
+                if ends is not None:
+                    found = ends
             self.shorter[token] = found
 
     def _edge(self, token: int, side: int, until: int) -> list[tuple[int, int]]:
@@ -149,6 +153,13 @@ class Vocabulary:
         return False
 
 
+def symbols_of(word: bytes) -> Iterator[int]:
+    """A word's bytes one by one, the last one marked."""
+    last = len(word) - 1
+    for i, b in enumerate(word):
+        yield b if i < last else b + _END
+
+
 class Transducer:
     """Symbols in, stable tokens out.
 
@@ -175,7 +186,7 @@ class Transducer:
     def stream(self, symbols: Iterable[int]) -> Iterator[list[int]]:
         """Tokens of one word as they become stable; holds twice the lookahead and a token's length of symbols at most."""
         v, source = self.v, iter(symbols)
-        trie, token_at, width, shorter = v.trie, v.token_at, v.width, v.shorter
+        trie, width, shorter = v.trie, v.width, v.shorter
         step = v.lookahead + v.longest
         window = list(islice(source, 2 * step))
         ended = len(window) < 2 * step
@@ -204,14 +215,14 @@ class Transducer:
                 if tokens:
                     yield tokens
                 return
-            node, at, token = 0, pos, None
-            while at < n:
-                node = trie[node].get(window[at])
+            children, token = trie, None
+            for symbol in window[pos : pos + v.longest]:
+                node = children.get(symbol)
                 if node is None:
                     break
-                at += 1
-                if token_at[node] is not None:
-                    token = token_at[node]
+                children, ends = node
+                if ends is not None:
+                    token = ends
             before = tokens[-1] if tokens else last
             while True:
                 if token is None:
@@ -226,11 +237,47 @@ class Transducer:
             pos += width[token]
 
     def word(self, word: bytes) -> list[int]:
-        """The tokens of one word."""
+        """The tokens of one word, as a whole."""
+        v = self.v
+        n = len(word)
+        if n > v.lookahead + v.longest:
+            return [t for part in self.stream(symbols_of(word)) for t in part]
+        # a word within the window: the same scan, nothing leaves before the end
+        trie, width, clashes = v.trie, v.width, self.clashes
         symbols = list(word)
         symbols[-1] += _END
-        out = list(self.stream(symbols))
-        return out[0] if len(out) == 1 else [t for part in out for t in part]
+        tokens: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        pos, before = 0, -1
+        while pos < n:
+            children, token = trie, None
+            for symbol in symbols[pos:]:
+                node = children.get(symbol)
+                if node is None:
+                    break
+                children, ends = node
+                if ends is not None:
+                    token = ends
+            while True:
+                if token is None:
+                    dead.add(pos)
+                    token, pos = tokens.pop(), starts.pop()
+                    before = tokens[-1] if tokens else -1
+                elif pos + width[token] not in dead:
+                    if before < 0:
+                        break
+                    known = clashes.get(before << 20 | token)
+                    if known is None:
+                        known = self._clash(before, token)
+                    if not known:
+                        break
+                token = v.shorter[token]
+            tokens.append(token)
+            starts.append(pos)
+            pos += width[token]
+            before = token
+        return tokens
 
 
 class Decoder:
@@ -248,11 +295,17 @@ class Decoder:
             self.bytes |= {i: text.encode() for text, i in v.special.items()}
         else:
             self.bytes = {i: text.encode() for i, text in v.texts.items()}
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
         self.reset()
 
     def reset(self) -> None:
         self.started = False
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.machine.reset()
+
+    def waits(self) -> bool:
+        """Whether a character is unfinished."""
+        return bool(self.machine.buffer)
 
     def feed(self, ids: Iterable[int]) -> str:
         new = self.between.join([self.bytes[i] for i in ids])
@@ -289,79 +342,141 @@ class Encoder:
             # letter by letter: the end of a word changes nothing, unlike in str.lower()
             piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
         piece = piece.lower()
-        return (piece,) if piece.isalpha() else self.v.split_pattern.findall(piece)
+        if piece.isalpha():
+            return (piece,)
+        if len(piece) <= LONG:
+            return self.v.split_pattern.findall(piece)
+        return (found[0] for found in self.v.split_pattern.finditer(piece))
 
     def ids(self, word: str) -> list[int]:
         """The ids of what words() gives."""
         special = self.v.upper_special.get(word)
         return self.transducer.word(word.encode()) if special is None else [special]
 
+    def stable(self, word: str) -> Iterator[list[int]]:
+        """The same ids in parts, as they become stable: for long words, in constant memory beside the word."""
+        return self.transducer.stream(symbols_of(word.encode()))
+
     def encode(self, text: str | None) -> Iterator[int]:
         for found in _PIECES.finditer(text or ""):
             for word in self.words(found[0]):
-                yield from self.ids(word)
+                if len(word) <= LONG:
+                    yield from self.ids(word)
+                else:
+                    for part in self.stable(word):
+                        yield from part
 
 
-class Digests:
-    """Per text the number of ids and the digests of ids and of what they decode to; words are remembered."""
+#: Some ids in decimal form and what they decode to, both joined by spaces; two empty ones for no ids.
+_Made = tuple[bytes, bytes]
 
-    def __init__(self, vocabulary: Vocabulary, words: int = 120_000, longest: int = 48):
-        self.encoder = Encoder(vocabulary)
-        self.decoder = Decoder(vocabulary)
-        #: longest: above it nothing is remembered. Each memory has two generations of so many entries.
-        self.words, self.longest = words, longest
-        self.pieces: list[dict[str, tuple[int, bytes, bytes]]] = [{}, {}]
-        self.parts: list[dict[str, tuple[int, bytes, bytes]]] = [{}, {}]
-
-    def _remembered(self, memory: list[dict], key: str, make) -> tuple[int, bytes, bytes]:
-        recent, older = memory
-        found = recent.get(key)
+
+class Memory(dict):
+    """What was made of a key, for the latest keys: two generations of so many entries; of keys longer than longest nothing is kept."""
+
+    def __init__(self, make: Callable[[Any], _Made], size: int, longest: int):
+        super().__init__()
+        self.make, self.size, self.longest, self.older = make, size, longest, {}
+
+    def known(self, key) -> _Made | None:
+        return self.get(key) or self.older.get(key)
+
+    def __missing__(self, key) -> _Made:
+        found = self.older.get(key)
         if found is None:
-            found = older.get(key) or make(key)
-            if len(key) <= self.longest:
-                if len(recent) >= self.words:
-                    memory[:] = {}, recent
-                memory[0][key] = found
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.size:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
         return found
 
-    def _word(self, word: str) -> tuple[int, bytes, bytes]:
-        ids = self.encoder.ids(word)
-        self.decoder.reset()
-        return len(ids), " ".join(map(str, ids)).encode(), (self.decoder.feed(ids) + self.decoder.end()).encode()
 
-    def _piece(self, piece: str) -> tuple[int, bytes, bytes]:
-        made = [self._remembered(self.parts, word, self._word) for word in self.encoder.words(piece)]
-        if len(made) == 1:
-            return made[0]
-        return sum(x[0] for x in made), b" ".join(x[1] for x in made), b" ".join(x[2] for x in made)
+class Digests:
+    """Per text the number of ids and the digests of ids and of what they decode to; words and pieces are remembered."""
+
+    def __init__(self, vocabulary: Vocabulary, size: int = 150_000, longest: int = 48):
+        self.encoder = Encoder(vocabulary)
+        self.decoder = Decoder(vocabulary)
+        self.decimal = {i: str(i).encode() for i in self.decoder.bytes}
+        self.words = Memory(self._word, size, longest)
+        self.pieces = Memory(self._piece, size, longest)
+
+    def _made(self, ids: list[int]) -> _Made:
+        decimal, decoder = self.decimal, self.decoder
+        decoder.started = False
+        text = decoder.feed(ids)
+        if decoder.waits():
+            text += decoder.end()
+        return b" ".join([decimal[i] for i in ids]), text.encode()
+
+    def _word(self, word: str) -> _Made:
+        """A word of its own that stands in a text as it is, is among the pieces."""
+        return self.pieces.known(word.encode()) or self._made(self.encoder.ids(word))
+
+    def _piece(self, piece: bytes) -> _Made:
+        text = piece.decode()
+        words = [*self.encoder.words(text)]
+        if len(words) == 1:
+            return self._made(self.encoder.ids(text)) if words[0] == text else self.words[words[0]]
+        made = [x for x in map(self.words.__getitem__, words) if x[0]]
+        return b" ".join([x[0] for x in made]), b" ".join([x[1] for x in made])
+
+    def _long_piece(self, piece: bytes) -> Iterator[_Made]:
+        """Its words, and of a long one its stable parts, one after another."""
+        for word in self.encoder.words(piece.decode()):
+            if len(word) <= LONG:
+                yield self.words[word]
+            else:
+                for part in self.encoder.stable(word):
+                    yield self._made(part)
 
-    def of(self, text: str | None, block: int = 1 << 18) -> tuple[int, str, str]:
-        """block: so many characters are cut into words at once, whatever the text's length."""
-        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
-        text, at = text or "", 0
+    def _parts(self, text: bytes, block: int) -> Iterator[list[_Made]]:
+        """What is made of the text's pieces, so many bytes at a time. White space of the word rule is what bytes.split() cuts at."""
+        remembered = self.pieces.__getitem__
+        at = 0
         while at < len(text):
-            end = at + block
-            if end < len(text):
-                while end < len(text) and text[end] not in SPACES:
-                    end += 1
-            known, made = self.pieces[0], []
-            for piece in _PIECES.findall(text[at:end] if at or end < len(text) else text):
-                x = known.get(piece)
-                if x is None:
-                    x = self._remembered(self.pieces, piece, self._piece)
-                    known = self.pieces[0]
-                made.append(x)
+            end = len(text)
+            if at + block < end:
+                space = _SPACE.search(text, at + block)
+                end = space.start() if space else end
+            pieces = text[at:end].split()
             at = end
-            made = [x for x in made if x[0]]
-            if made:
-                between = b" " if n else b""
-                n += sum(x[0] for x in made)
-                ids_sha.update(between + b" ".join([x[1] for x in made]))
-                text_sha.update(between + b" ".join([x[2] for x in made]))
+            if max(map(len, pieces), default=0) <= LONG:
+                yield list(map(remembered, pieces))
+            else:
+                for piece in pieces:
+                    if len(piece) <= LONG:
+                        yield [remembered(piece)]
+                    else:
+                        for made in self._long_piece(piece):
+                            yield [made]
+
+    def of(self, text: bytes | str | None, block: int = 1 << 18) -> tuple[int, str, str]:
+        """block: so many bytes are cut into words at once, whatever the text's length."""
+        text = (text or b"") if not isinstance(text, str) else text.encode()
+        n, ids_sha, text_sha = 0, hashlib.sha256(), hashlib.sha256()
+        for made in self._parts(text, block):
+            if not made:
+                continue
+            ids, texts = zip(*made)
+            if b"" in ids:
+                ids, texts = (list(filter(None, x)) for x in (ids, texts))
+                if not ids:
+                    continue
+            if n:
+                ids_sha.update(b" ")
+                text_sha.update(b" ")
+            ids = b" ".join(ids)
+            n += ids.count(b" ") + 1
+            ids_sha.update(ids)
+            text_sha.update(b" ".join(texts))
         return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
 _loaded: dict[str, Vocabulary] = {}
+_digests: dict[str, Digests] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -371,6 +486,13 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
+def digests_of(path: str) -> Digests:
+    """One per process: later tasks find what earlier ones have remembered. Its memories have a bound."""
+    if path not in _digests:
+        _digests[path] = Digests(vocabulary(path))
+    return _digests[path]
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with the column ids array<int>; a null or empty text has no ids. Other columns stay, one called ids is replaced."""
     python_ready(docs.sparkSession)
@@ -416,9 +538,9 @@ def token_digests(docs: DataFrame, path: str) -> DataFrame:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def digested(batches):
-        digests = Digests(vocabulary(path))
+        digests = digests_of(path)
         for batch in batches:
-            rows = [digests.of(t) for t in batch.column("text").to_pylist()]
+            rows = [digests.of(t.as_py()) for t in batch.column("text").cast(pa.binary())]
             n, ids, decoded = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=names
