@@ -169,6 +169,15 @@ def test_languages(spark, docs, empty):
     assert [tuple(r) for r in nothing] == [("und", 0.0)]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_accuracy_on_held_out_rows(spark):
+    """0.995 of the labelled rows that were not learned from, at the time of writing."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predict_languages(table).join(table.select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred != 'und'")
+    right, rows = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert rows > 100 and right >= 0.98 * rows
+
+
 def test_phrases_are_longest_matches():
     rng = random.Random(7)
     train = "".join(rng.choice("abc ") for _ in range(80))
@@ -463,8 +472,9 @@ def test_names_are_learnt_not_listed():
     assert model.text(f'<article><p>{prose} re<span class="hl">mark</span>able.</p></article>') == f"{prose} remarkable."
 
 
-def test_held_out_names():
-    """Pages with names that no labelled page has, or in other layouts: 28 of 30 at the time of writing."""
+def test_names_without_training():
+    """Pages that the model isn't trained on: 28 of 30 at the time of writing. A first version's failures (it had 20) were looked at
+    when layouts and features were chosen, so this guards what is reached; it is no estimate for other pages (see the README)."""
     model = htmltext.Model()
     prose, line = "Quite some prose is in this line, with commas, with detail, and with an end. More of it follows here, at length.", "A line of prose, not long."
     links = "".join(f'<li><a href="/{i}">Go {i}</a></li>' for i in range(5))
@@ -569,6 +579,26 @@ def test_shards(docs, empty, tmp_path):
     assert len(list((tmp_path / "shards").glob("shard=*"))) == len(by_shard)
 
 
+def test_merged_and_split_shards(spark):
+    """Sizes all over: buckets that merge far above the expected depth, some that split far below, rows that can't be split."""
+    rng = random.Random(2)
+    for limit in (1, 40, 1000, 10**9):
+        sizes = [(rng.randrange(1 << 60) >> rng.choice((0, 0, 0, 20)), rng.choice((0, 1, 30, 300))) for _ in range(300)] + [(5 << 50, 700)] * 3
+        df = spark.createDataFrame(sizes, "h long, bytes long")
+        table = {}
+        for r in sharding.directory(df, limit).collect():
+            for h, _ in sizes:
+                if h >> (60 - r.leaf_depth) == r.leaf:
+                    assert table.setdefault(h, (r.depth, r.bucket, r.shard_bytes, r.shard_docs)) == (r.depth, r.bucket, r.shard_bytes, r.shard_docs)
+        assert set(table) == {h for h, _ in sizes}
+        for h, got in table.items():
+            for depth in range(61):
+                inside = [(x, b) for x, b in sizes if x >> (60 - depth) == h >> (60 - depth)]
+                if sum(b for _, b in inside) <= limit or len({x for x, _ in inside}) == 1 or depth == 60:
+                    assert got == (depth, h >> (60 - depth), sum(b for _, b in inside), len(inside)), limit
+                    break
+
+
 # --- 10
 def test_fingerprints(docs, empty):
     rows = sorted(((r[0], r[1] or "") for r in odd_rows()), key=lambda r: (r[0] is not None, r[0] or 0))
