@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 from reelshelf import schemas
 from reelshelf.operators import enrichment, inventory, report_partials, reports, state_ops
 from reelshelf.plans.catalog import Inputs, build_catalog
@@ -287,7 +288,7 @@ def test_only_touched_partitions_are_written(spark, inputs):
 def test_listing_stream_deletes_and_reports(spark, inputs):
     root = scratch_dir(spark, "l")
     table = StateTable(spark, f"{root}/state", merge_deltas=2)
-    kind = schemas.FILES.add("deleted", "boolean")
+    kind = StructType([*schemas.FILES.fields, StructField("deleted", BooleanType())])
     bad = inputs.files.limit(1).withColumn("size_bytes", F.lit(-1).cast("bigint"))
     steps = [inputs.files.unionByName(bad).withColumn("deleted", F.lit(None).cast("boolean")), inputs.files.filter("file_path LIKE '%Beta%'").withColumn("deleted", F.lit(True))]
     for step in steps:
