@@ -16,6 +16,7 @@ from reelshelf.sources import catalog_csv, exports, listing
 from reelshelf.sources.state_table import StateTable
 from reelshelf.sources.tables import conform
 from reelshelf.streaming.ingest import ingest_listing
+from workload.queries import QUERIES
 
 NOW = "2026-01-01T00:00:00"
 KEYS = "file_path string, mtime timestamp_ntz, size_bytes bigint, tmdb_enriched int"
@@ -383,3 +384,16 @@ def test_tracks_of_changed_files_are_dealt_by_chunk(spark, inputs):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert any("hashpartitioning(file_path" in line and "shiftright(track_order" in line for line in plan.splitlines())
+
+
+def test_sums_of_read_tables_have_more_than_64_bits(spark, tmp_path):
+    """Enough tracks, and their orders add up to more than a long holds."""
+    lines = spark.range(4).select(
+        F.col("id").alias("l_orderkey"), (F.lit(1 << 43)).alias("l_partkey"), F.lit(1).cast("bigint").alias("l_suppkey"), F.lit(1).alias("l_linenumber"),
+        F.lit(1.0).alias("l_quantity"), F.lit(9.0).alias("l_extendedprice"), F.lit("R").alias("l_returnflag"))
+    lines.unionAll(lines).unionAll(lines.withColumn("l_linenumber", F.lit(1 << 21))).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(4).select(F.col("id").alias("o_orderkey"), F.col("id").alias("o_custkey"), F.lit(5.0).alias("o_totalprice"), F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(2).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    told = {r.source: (r.rows, r.total) for r in QUERIES["table_readers"](spark, str(tmp_path)).collect()}
+    part = (1 << 43) * 1024 + 1
+    assert told["tracks"] == (16, str(8 * (2**40 + part) + 4 * (2**61 + part)))
