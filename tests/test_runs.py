@@ -11,12 +11,13 @@ from reelshelf import schemas
 from reelshelf.operators import enrichment, inventory, report_partials, reports, state_ops
 from reelshelf.plans.catalog import Inputs, build_catalog
 from reelshelf.plans.incremental import incremental_run, save_run
-from reelshelf.session import landed, scratch_dir
+from reelshelf.session import configure, landed, scratch_dir
 from reelshelf.sources import catalog_csv, exports, listing
 from reelshelf.sources.state_table import StateTable
 from reelshelf.sources.tables import conform
 from reelshelf.streaming.ingest import ingest_listing
 from workload.queries import QUERIES
+from workload.views import Views
 
 NOW = "2026-01-01T00:00:00"
 KEYS = "file_path string, mtime timestamp_ntz, size_bytes bigint, tmdb_enriched int"
@@ -397,3 +398,25 @@ def test_sums_of_read_tables_have_more_than_64_bits(spark, tmp_path):
     told = {r.source: (r.rows, r.total) for r in QUERIES["table_readers"](spark, str(tmp_path)).collect()}
     part = (1 << 43) * 1024 + 1
     assert told["tracks"] == (16, str(8 * (2**40 + part) + 4 * (2**61 + part)))
+
+
+def test_broadcasts_go_by_measured_sizes(spark, inputs):
+    """A side that explodes from a small file is not planned as a broadcast; the session's limit holds for measured sizes."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "3m")
+    for _ in range(2):
+        configure(session)
+        assert session.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "3m"
+    session.range(5).selectExpr("'movie' AS endpoint", "'en-US' AS language", "'Alpha' AS query", "sequence(1, 1000) AS hits", "id").write.parquet(path := scratch_dir(session, "hits"))
+    search = session.read.parquet(path).selectExpr("endpoint", "language", "query", "explode(hits) AS year", "1 AS rank", "id")
+    keys = session.createDataFrame([("movie", "en-US", "Alpha", 7)], "endpoint string, language string, title string, search_year int")
+    found = enrichment.resolve_ids(keys, search)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r.tmdb_id for r in found.collect()] == [0]
+
+
+def test_candidates_of_one_small_file_are_dealt(spark, tmp_path):
+    spark.range(400).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    candidates = Views(spark, str(tmp_path)).search
+    rows = candidates.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(rows) > 1 and sum(r["count"] for r in rows) == 2400
