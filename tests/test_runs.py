@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 from reelshelf import schemas
 from reelshelf.operators import enrichment, inventory, report_partials, reports, state_ops
+from reelshelf.operators.track_errors import range_errors
+from reelshelf.operators.track_fold import fold_tracks, tracks_of_files
 from reelshelf.plans.catalog import Inputs, build_catalog
-from reelshelf.plans.incremental import incremental_run, save_run
+from reelshelf.plans.incremental import incremental_run, save_run, stored_rows
 from reelshelf.session import configure, landed, scratch_dir
 from reelshelf.sources import catalog_csv, exports, listing
 from reelshelf.sources.state_table import StateTable
@@ -420,3 +422,39 @@ def test_candidates_of_one_small_file_are_dealt(spark, tmp_path):
     candidates = Views(spark, str(tmp_path)).search
     rows = candidates.groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(rows) > 1 and sum(r["count"] for r in rows) == 2400
+
+
+def test_wide_tracks_of_changed_files_move_once(spark, inputs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tracks = tracks_of_files(inputs.tracks, inputs.files, "file_path")
+        lines = fold_tracks(tracks)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moves = [line for line in lines if "Exchange hashpartitioning(file_path" in line]
+    # the tracks by file and chunk, then the fold's rows by file; the other moves are of narrow pairs
+    assert ["shiftright(track_order" in line for line in moves] == [False, True]
+
+
+def test_tracks_of_files_fold_as_all_tracks_do(spark):
+    """Repeated files and tracks, no order, no kind, attributes of another kind: what the fold gives doesn't change."""
+    columns = "file_path string, track_order bigint, track_type string, width string, height string, language string, forced string, format string, title string"
+    rows = [(f, o, k, "99999999999" if o == 2 else "1920", "1080", "pl", "Yes", f"f{o}", f"t{i}")
+            for f in ("a", "b", None) for o in (None, 0, 1, 2, 5000) for i, k in enumerate(("General", "Video", "Audio", "Text", "Menu", None))]
+    tracks = conform(spark.createDataFrame(rows + rows[:7], columns), schemas.TRACKS)
+    files = spark.createDataFrame([("a",), ("a",), (None,), ("c",)], "file_path string")
+    plain = fold_tracks(tracks.join(files, "file_path", "left_semi"))
+    assert sorted(map(str, fold_tracks(tracks_of_files(tracks, files, "file_path")).collect())) == sorted(map(str, plain.collect()))
+    assert plain.count() == 1
+    told = lambda df: sorted(map(str, range_errors(df, "file_path").collect()))
+    assert told(tracks_of_files(tracks, files, "file_path")) == told(tracks.filter("file_path = 'a'")) != []
+
+
+def test_stored_rows_are_those_processed(spark, inputs):
+    table = StateTable(spark, scratch_dir(spark, "k"))
+    for i, files in enumerate((inputs.files, inputs.files.withColumn("size_bytes", F.col("size_bytes") + (F.col("size_bytes") == 20).cast("int")))):
+        run = incremental_run(inputs.of(files), table.load(), 2026, NOW, enrich=False)
+        made = sorted(map(str, run.processed.collect()))
+        save_run(run, table, f"run-{i}", NOW)
+        assert sorted(map(str, stored_rows(run, table).collect())) == made and len(made) == (3, 1)[i]
