@@ -1,14 +1,19 @@
 """What moves between tasks and what is written: texts of tracks as one, compressed CSV, batches without repeated paths, runs over few files."""
 
 import os
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from reelshelf import schemas
 from reelshelf.operators.track_fold import fold_by_file, fold_tracks
-from reelshelf.session import scratch_dir
+from reelshelf.plans.incremental import incremental_run, save_run
+from reelshelf.session import configure, scratch_dir
 from reelshelf.sources import catalog_csv
+from reelshelf.sources.state_table import StateTable
 from reelshelf.sources.tables import conform
+from reelshelf.streaming.ingest import newest_per_path, once_per_path
+from test_runs import NOW, inputs  # noqa: F401
 
 ODD = ["", " a\tb\n", 'q"\\u0041\\', "ż😀,{}", None, "null", "\x01\x02\u2028"]
 
@@ -29,3 +34,32 @@ def test_tracks_move_with_their_texts_as_one(spark):
     folded = fold_by_file(tracks)
     assert "_texts" in folded._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(repr, folded.collect())) == sorted(map(repr, fold_tracks(tracks).select(*folded.columns).collect()))
+
+
+def test_a_batch_without_repeated_paths_moves_no_rows(spark):
+    configure(spark)
+    rows = spark.createDataFrame([("a", "1", 1), ("b", "1", 2), ("c", "2", 3)], "file_path string, scanned_at_ts string, n int")
+    assert once_per_path(rows, rows.select("file_path")) is rows
+    more = rows.union(spark.createDataFrame([("a", "2", 0), ("c", "2", 9), (None, "1", 5), (None, "1", 4)], rows.schema))
+    once = once_per_path(more, more.select("file_path"))
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, newest_per_path(more).collect()))
+    key = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    try:  # too many repeated paths to send to all tasks
+        spark.conf.set(key, "1")
+        assert sorted(map(repr, once_per_path(more, more.select("file_path")).collect())) == sorted(map(repr, once.collect()))
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_a_run_over_few_files_moves_their_tracks_only(spark, inputs):  # noqa: F811
+    configure(spark)
+    table = StateTable(spark, scratch_dir(spark, "few"))
+    inputs = replace(inputs, ref_search=None, ref_details=None)
+    save_run(incremental_run(inputs, table.load(), 2026, NOW), table, "run-1", NOW)
+    listed = inputs.files.withColumn("size_bytes", F.col("size_bytes") + F.col("file_path").contains("Alpha").cast("int"))
+    run = incremental_run(inputs.of(listed), table.load(), 2026, NOW)
+    plan = run.processed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert [(r.file_path, r.data.duration_fmt) for r in run.processed.collect()] == [("F:/M/Movies/Alpha (1999).mkv", "00:01:00")]
+    assert run.catalog.count() == 3
