@@ -63,3 +63,29 @@ def test_a_run_over_few_files_moves_their_tracks_only(spark, inputs):  # noqa: F
     assert "BroadcastHashJoin" in plan
     assert [(r.file_path, r.data.duration_fmt) for r in run.processed.collect()] == [("F:/M/Movies/Alpha (1999).mkv", "00:01:00")]
     assert run.catalog.count() == 3
+
+
+def test_deltas_are_read_twice_however_many_there_are(spark):
+    configure(spark)
+    schema = "file_path string, mtime timestamp_ntz, size_bytes bigint, tmdb_enriched int"
+
+    def rows(*items):
+        return spark.createDataFrame([(path, None, size, 0) for path, size in items], schema)
+
+    def filled(**options):
+        table = StateTable(spark, scratch_dir(spark, "d"), schema=rows().schema, **options)
+        table.write_full(rows(("a", 1), ("b", 1), ("c", 1), (None, 1)), "base")
+        # a path twice in a delta, paths that are NULL, a mark and then a row, a row and then a mark
+        table.append_delta(rows(("a", 2), ("d", 2)), "r-0", rows(("b", 0), ("e", 0)))
+        table.append_delta(rows(("d", 3), ("d", 4), (None, 3)), "r-1", rows(("a", 0), (None, 0)))
+        table.append_delta(rows(("b", 5)), "r-2", rows(("b", 0), ("f", 0), ("f", 0)))
+        table.append_delta(rows(("e", 6)), "r-3", rows(("g", 0)))
+        return table
+
+    expected = [(None, 1), ("b", 5), ("c", 1), ("d", 3), ("d", 4), ("e", 6)]
+    for options in ({}, {"merge_deltas": 4, "fold_share": 9.0}, {"merge_deltas": 4, "fold_share": 0.0}):
+        loaded = filled(**options).load()
+        plan = loaded._jdf.queryExecution().optimizedPlan().toString()
+        assert options or plan.count("Relation ") == 1 + 2 * 4
+        got = [(r.file_path, r.size_bytes) for r in loaded.collect()]
+        assert sorted(got, key=lambda r: (r[0] is not None, r)) == expected
